@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import load
-from . import group_splits
+from . import group_splits, ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -55,3 +55,27 @@ def p4_splits(spark: SparkSession, d: str) -> DataFrame:
 @query("p4_balance")
 def p4_balance(spark: SparkSession, d: str) -> DataFrame:
     return group_splits.balance(_splits(spark, d))
+
+
+_CANON = r"""lower(regexp_replace(text, '[^\p{L}\p{Nd}]+', '', 'g')) AS t,
+  CASE WHEN meta IS NULL THEN NULL ELSE list_sort(list_transform(json_keys(meta), lambda k: concat(lower(k), '=', lower(regexp_replace(json_extract_string(meta, k), '[^\p{L}\p{Nd}]+', '', 'g'))))) END AS m"""
+
+
+@query(
+    "p5_found",
+    f"""WITH c AS (SELECT record_id, {_CANON} FROM quotes),
+        g AS (SELECT record_id, min(record_id) OVER (PARTITION BY t, m) AS keep_id FROM c)
+        SELECT keep_id, record_id FROM g WHERE record_id <> keep_id""",
+)
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.copies_of(*ledger.collapse(load(spark, d, "quotes")))
+
+
+@query(
+    "p5_copies",
+    f"""WITH c AS (SELECT record_id, ingested_at, {_CANON} FROM quotes)
+        SELECT min(record_id) AS keep_id, count(*) AS copies, min(ingested_at) AS first_at, max(ingested_at) AS last_at FROM c GROUP BY t, m""",
+)
+def p5_copies(spark: SparkSession, d: str) -> DataFrame:
+    _, kept = ledger.collapse(load(spark, d, "quotes"))
+    return kept.records().select("keep_id", "copies", "first_at", "last_at")
