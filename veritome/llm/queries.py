@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import load
-from . import group_splits, ledger
+from . import group_splits, ledger, split_overlap
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,3 +79,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_copies(spark: SparkSession, d: str) -> DataFrame:
     _, kept = ledger.collapse(load(spark, d, "quotes"))
     return kept.records().select("keep_id", "copies", "first_at", "last_at")
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = split_overlap.cross_split_pairs(load(spark, d, "quotes"))
+    return pairs.select(F.least("eval_id", "train_id").alias("record_id_a"), F.greatest("eval_id", "train_id").alias("record_id_b"))
+
+
+@query("p1_report")
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.overlap_report(load(spark, d, "quotes"))
