@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import load
-from . import group_splits, ledger, split_overlap
+from . import block_knn, group_splits, ledger, split_overlap
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -90,3 +90,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p1_report")
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return split_overlap.overlap_report(load(spark, d, "quotes"))
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    near = block_knn.nearest(load(spark, d, "quote_vectors"), "record_id", "fused_emb", 64)
+    return near.select(F.least("record_id", "other_id").alias("record_id_a"), F.greatest("record_id", "other_id").alias("record_id_b")).distinct()
