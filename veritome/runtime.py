@@ -14,7 +14,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["checkpoint_dir", "cut", "load", "scratch", "session", "tables_equal"]
+__all__ = ["checkpoint_dir", "cut", "load", "scratch", "session", "stored", "tables_equal"]
 
 
 def session(app: str = "veritome", master: str | None = None, **conf: str) -> SparkSession:
@@ -65,6 +65,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as a parquet table below the shared folder and read it back.
+
+    Like ``cut``, but compressed and columnar: later readers touch only the columns they use.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def load(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame | tuple[DataFrame, ...]:
     """Parquet tables of a data folder by name."""
     out = tuple(spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names)
