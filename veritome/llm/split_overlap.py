@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import stored
+
 __all__ = ["cross_split_pairs", "distinct_texts", "near_text_links", "overlap_report", "split_name", "words_of"]
 
 #: Cells of the table of word frequencies. It is counted over every text; words that share a cell
@@ -80,9 +82,13 @@ def word_frequencies(texts: DataFrame) -> np.ndarray:
 
 
 def distinct_texts(rows: DataFrame) -> DataFrame:
-    """``tid, words, in_train, in_eval`` from ``record_id, words, split``: one row per distinct text."""
+    """``key, tid, words, in_train, in_eval`` from ``record_id, words, key, split``: one row per distinct text.
+
+    The only shuffle that carries texts; the result is stored, as everything after reads it.
+    """
     train = F.col("split") == "train"
-    return rows.groupBy("words").agg(F.min("record_id").alias("tid"), F.max(train).alias("in_train"), F.max(~train).alias("in_eval"))
+    texts = rows.groupBy("key").agg(F.min("record_id").alias("tid"), F.first("words").alias("words"), F.max(train).alias("in_train"), F.max(~train).alias("in_eval"))
+    return stored(texts, "texts")
 
 
 def _terms(h: np.ndarray, n: np.ndarray, freq: np.ndarray):
@@ -245,10 +251,11 @@ def near_text_links(texts: DataFrame) -> DataFrame:
     return full.mapInArrow(settle, "ta long, tb long")
 
 
-def prepared(df: DataFrame, id_col: str = "record_id", text: str = "text", split: str = "split") -> DataFrame:
-    """``record_id, words, split`` of the rows that have a known split and at least one word."""
-    rows = df.select(F.col(id_col).alias("record_id"), words_of(F.col(text)).alias("words"), split_name(F.col(split)).alias("split"))
-    return rows.filter(F.col("split").isNotNull() & (F.col("words") != ""))
+def prepared(df: DataFrame, *more: Column, id_col: str = "record_id", text: str = "text", split: str = "split") -> DataFrame:
+    """``record_id, words, key, split`` of the rows that have a known split and at least one word."""
+    rows = df.select(F.col(id_col).alias("record_id"), words_of(F.col(text)).alias("words"), split_name(F.col(split)).alias("split"), *more)
+    rows = rows.filter(F.col("split").isNotNull() & (F.col("words") != ""))
+    return rows.withColumn("key", F.unhex(F.md5("words")))
 
 
 def cross_split_pairs(df: DataFrame) -> DataFrame:
@@ -261,7 +268,7 @@ def cross_split_pairs(df: DataFrame) -> DataFrame:
     texts = distinct_texts(rows)
     same = texts.filter("in_train AND in_eval").select(F.col("tid").alias("ta"), F.col("tid").alias("tb"))
     links = same.union(near_text_links(texts))
-    member = rows.join(texts.select("tid", "words"), "words").select("record_id", "tid", "split")
+    member = rows.select("record_id", "key", "split").join(texts.select("tid", "key"), "key").select("record_id", "tid", "split")
     ev = member.filter("split <> 'train'").select(F.col("tid").alias("ta"), F.col("record_id").alias("eval_id"), "split")
     tr = member.filter("split = 'train'").select(F.col("tid").alias("tb"), F.col("record_id").alias("train_id"))
     return links.join(ev, "ta").join(tr, "tb").select("eval_id", "train_id", "split")
@@ -273,11 +280,11 @@ def overlap_report(df: DataFrame, source: str = "source") -> DataFrame:
     Pairs are counted from the number of training records behind each text, never by listing
     them. A null source is a group of its own.
     """
-    rows = df.select(F.col("record_id"), words_of(F.col("text")).alias("words"), split_name(F.col("split")).alias("split"), F.col(source).alias("source")).filter(F.col("split").isNotNull() & (F.col("words") != ""))
+    rows = prepared(df, F.col(source).alias("source"))
     texts = distinct_texts(rows)
     same = texts.filter("in_train AND in_eval").select(F.col("tid").alias("ta"), F.col("tid").alias("tb"))
     links = same.union(near_text_links(texts))
-    per = rows.groupBy("words", "split", "source").agg(F.count(F.lit(1)).alias("n")).join(texts.select("tid", "words"), "words")
+    per = rows.groupBy("key", "split", "source").agg(F.count(F.lit(1)).alias("n")).join(texts.select("tid", "key"), "key")
     train = per.filter("split = 'train'").groupBy(F.col("tid").alias("tb")).agg(F.sum("n").alias("n_train"))
     hits = links.join(train, "tb").groupBy("ta").agg(F.sum("n_train").alias("partners"))
     ev = per.filter("split <> 'train'").join(hits.withColumnRenamed("ta", "tid"), "tid", "left")
