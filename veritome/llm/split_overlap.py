@@ -1,14 +1,14 @@
 """Same or near-same records across splits: a weighted cosine join between splits.
 
-A text is a set of terms: its word pairs (with a mark before the first and after the last
-word), a repeated pair counting as a term of its own each time. A term weighs the more, the
-rarer its two words are in the whole corpus. Changing, adding or dropping one word touches at
-most two terms of either text, so two texts of which k words are touched share at least the
-weight that a text keeps when its 2k heaviest terms go: this lower bound on the dot product
-holds for any weights, and it drives everything below.
-
-* Inverted lists hold, per text, only its 2K + 1 heaviest terms in one global order: a pair
-  that reaches the bound must share one of them (the lighter rest cannot make it up).
+A text is a set of terms: its runs of SHINGLE words (with marks before the first and after the
+last word), a repeated run counting as a term of its own each time. A term weighs the more, the
+rarer it is in the whole corpus. Changing, adding or dropping one word touches at most SHINGLE
+terms of either text, so two texts of which k words are touched share at least the weight that
+a text keeps when its SHINGLE * k heaviest terms go: this lower bound on the dot product holds
+for any weights, and it drives everything below.
+
+* Inverted lists hold, per text, only its SHINGLE * K + 1 heaviest terms in one global order: a
+  pair that reaches the bound must share one of them (the lighter rest cannot make it up).
 * A posting carries the squared norm that remains after it. When a list of the evaluation side
   meets a list of the training side, the product of the residual norms bounds what may still
   come, and the pair is dropped where that stays below the bound of either text.
@@ -30,9 +30,12 @@ from ..runtime import stored
 
 __all__ = ["cross_split_pairs", "distinct_texts", "near_text_links", "overlap_report", "split_name", "words_of"]
 
-#: Cells of the table of word frequencies. It is counted over every text; words that share a cell
+#: Cells of the table of term frequencies. It is counted over every text; terms that share a cell
 #: share a frequency, which changes how selective a term is thought to be, never the result.
-CELLS = 1 << 16
+CELLS = 1 << 20
+_BLOCK = 1 << 10
+#: Words in a term.
+SHINGLE = 3
 #: One word in TOUCH of the longer text may differ.
 TOUCH = 10
 _WORD = r"[\p{L}\p{Nd}]+"
@@ -64,20 +67,32 @@ def _flat(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return _hash_words(np.array([w for x in lists for w in x], dtype=object)), n
 
 
-def word_frequencies(texts: DataFrame) -> np.ndarray:
-    """How many words of the corpus fall into each of CELLS cells: a table of fixed size."""
+def term_frequencies(texts: DataFrame) -> np.ndarray:
+    """How many terms of the corpus fall into each of CELLS cells: a table of fixed size.
+
+    Each task counts into one array and hands it on in blocks, which are then added up.
+    """
 
     def count(batches):
         total = np.zeros(CELLS, dtype=np.int64)
         for b in batches:
-            h, _ = _flat(b.column(0).to_pandas())
-            total += np.bincount((h % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["cell", "n"])
-
-    got = texts.select("words").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+            h, n = _flat(b.column(0).to_pandas())
+            if len(n):
+                term, *_ = _terms(h, n, None)
+                total += np.bincount((term % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        blocks = total.reshape(-1, _BLOCK)
+        used = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([blocks[u].tobytes() for u in used], pa.binary())], names=["block", "counts"])
+
+    def add(table):
+        total = sum(np.frombuffer(x, dtype=np.int64) for x in table.column("counts").to_pylist())
+        return pa.table({"block": table.column("block")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    parts = texts.select("words").mapInArrow(count, "block int, counts binary")
+    got = parts.groupBy("block").applyInArrow(add, "block int, counts binary").collect()  # CELLS numbers at most
     table = np.ones(CELLS)
-    table[got["cell"].to_numpy()] = np.maximum(1, got["n"].to_numpy())
+    for r in got:
+        table[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.maximum(1, np.frombuffer(r["counts"], dtype=np.int64))
     return table
 
 
@@ -91,23 +106,25 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
     return stored(texts, "texts")
 
 
-def _terms(h: np.ndarray, n: np.ndarray, freq: np.ndarray):
-    """Flat term hashes, squared weights and owners of a batch; a text of n words has n + 1 terms."""
+def _terms(h: np.ndarray, n: np.ndarray, freq: np.ndarray | None):
+    """Flat term hashes, squared weights and owners of a batch; n words make n + SHINGLE - 1 terms."""
     rows = len(n)
     first = np.concatenate([[0], np.cumsum(n)[:-1]])
-    count = n + 1
+    count = n + SHINGLE - 1
     start = np.concatenate([[0], np.cumsum(count)[:-1]])
     owner = np.repeat(np.arange(rows), count)
     pos = np.arange(count.sum()) - start[owner]
-    at = first[owner] + pos
-    padded = np.concatenate([h, [np.uint64(0)]])
-    right = np.where(pos < n[owner], padded[np.minimum(at, len(h))], np.uint64(2))
-    left = np.where(pos > 0, padded[np.maximum(at - 1, 0)], np.uint64(1))
-    idf = np.log(freq.sum() / freq)
-    weight = lambda x: np.where(x > np.uint64(2), idf[(x % np.uint64(CELLS)).astype(np.int64)], 0.0)
+    term = np.zeros(len(owner), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        term = (left * _MIX) ^ (left >> np.uint64(29)) ^ (right * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (right >> np.uint64(31))
-    sq = 1.0 + weight(left) + weight(right)
+        for s in range(SHINGLE):
+            at = pos - (SHINGLE - 1) + s
+            inside = (at >= 0) & (at < n[owner])
+            word = np.where(inside, h[np.clip(first[owner] + at, 0, len(h) - 1)], np.uint64(7))
+            term = (term ^ word) * _MIX
+            term ^= term >> np.uint64(32)
+    sq = np.ones(len(term)) if freq is None else 1.0 + np.log(freq.sum() / freq[(term % np.uint64(CELLS)).astype(np.int64)])
+    if freq is None:
+        return term, sq, owner, start, count
     # a repeated term becomes a term of its own: number the repeats within each text
     order = np.lexsort((term, owner))
     t, o = term[order], owner[order]
@@ -121,7 +138,7 @@ def _terms(h: np.ndarray, n: np.ndarray, freq: np.ndarray):
 
 def _postings(texts: DataFrame, freq: np.ndarray) -> DataFrame:
     """``term, tid, n, rest, floor, sq``: the inverted lists of texts long enough to allow a change."""
-    box = texts.sparkSession.sparkContext.broadcast(freq)  # CELLS doubles, half a megabyte
+    box = texts.sparkSession.sparkContext.broadcast(freq)  # CELLS doubles, eight megabytes
 
     def lists(batches):
         table = box.value
@@ -138,9 +155,10 @@ def _postings(texts: DataFrame, freq: np.ndarray) -> DataFrame:
             before = np.concatenate([[0.0], upto])[start]
             total = upto[start + count - 1] - before
             rank = np.arange(len(term)) - start[owner]
-            lost = upto[start + np.minimum(2 * k, count) - 1] - before
+            cut_at = SHINGLE * k
+            lost = upto[start + np.minimum(cut_at, count) - 1] - before
             floor = total - np.where(k > 0, lost, 0.0)
-            keep = (rank <= 2 * k[owner]) & (k[owner] > 0)
+            keep = (rank <= cut_at[owner]) & (k[owner] > 0)
             rest = total[owner] - (upto - before[owner])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(term[keep].view(np.int64)), pa.array(tid[owner[keep]]), pa.array(n[owner[keep]].astype(np.int32)), pa.array(rest[keep].astype(np.float32)), pa.array(floor[owner[keep]].astype(np.float32)), pa.array(sq[keep].astype(np.float32))],
@@ -215,7 +233,7 @@ def _dots(ta: pd.Series, tb: pd.Series, freq: np.ndarray) -> np.ndarray:
     upto = np.concatenate([[0.0], np.cumsum(s)])
     total = upto[start + count] - upto[start]
     pair = owner % p
-    k2 = 2 * (np.maximum(n[:p], n[p:]) // TOUCH)
+    k2 = SHINGLE * (np.maximum(n[:p], n[p:]) // TOUCH)
     lost = upto[start + np.minimum(np.concatenate([k2, k2]), count)] - upto[start]
     o = np.lexsort((term, pair))
     t, q, w = term[o], pair[o], sq[o]
@@ -232,7 +250,7 @@ def near_text_links(texts: DataFrame) -> DataFrame:
     ``texts`` is the frame of ``distinct_texts``. At most one word in ten of the longer text may
     be changed, added or dropped. A text without words matches nothing.
     """
-    freq = word_frequencies(texts)
+    freq = term_frequencies(texts)
     box = texts.sparkSession.sparkContext.broadcast(freq)
     pairs = _candidates(texts, freq)
     left = texts.filter("in_eval").select(F.col("tid").alias("ta"), F.col("words").alias("wa"))
