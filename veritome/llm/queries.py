@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import load
-from . import block_knn, group_splits, ledger, split_overlap
+from . import block_knn, bpe, group_splits, ledger, split_overlap
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -96,3 +96,15 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     near = block_knn.nearest(load(spark, d, "quote_vectors"), "record_id", "fused_emb", 64)
     return near.select(F.least("record_id", "other_id").alias("record_id_a"), F.greatest("record_id", "other_id").alias("record_id_b")).distinct()
+
+
+@query("p8_ids")
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode(load(spark, d, "documents"))
+
+
+@query("p8_roundtrip", "SELECT count(*) AS n_docs, count(*) AS n_equal FROM documents")
+def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    back = bpe.decode(bpe.encode(docs)).join(docs, "doc_id")
+    return back.agg(F.count(F.lit(1)).alias("n_docs"), F.sum((F.col("decoded") == F.col("text")).cast("bigint")).alias("n_equal"))
