@@ -7,11 +7,12 @@ terms of either text, so two texts of which k words are touched share at least t
 a text keeps when its SHINGLE * k heaviest terms go: this lower bound on the dot product holds
 for any weights, and it drives everything below.
 
-* Inverted lists hold, per text, only its SHINGLE * K + 1 heaviest terms in one global order: a
-  pair that reaches the bound must share one of them (the lighter rest cannot make it up).
-* A posting carries the squared norm that remains after it. When a list of the evaluation side
-  meets a list of the training side, the product of the residual norms bounds what may still
-  come, and the pair is dropped where that stays below the bound of either text.
+* Inverted lists hold, per text, only its SHINGLE * K + EXTRA heaviest terms in one global order:
+  the residual norm of the lighter rest bounds what they can add, so a pair that reaches the
+  bound must share at least a known weight within the lists.
+* Where lists of the evaluation side meet lists of the training side, the shared weights of each
+  pair are summed, and the pair is dropped where the sum and the residual norm stay below the
+  bound of either text.
 * For the pairs that are left the dot product is taken exactly over all terms, and those that
   reach both bounds are aligned word by word.
 
@@ -36,6 +37,8 @@ CELLS = 1 << 20
 _BLOCK = 1 << 10
 #: Words in a term.
 SHINGLE = 3
+#: Terms in a list beyond those that a pair could lose: with more of them fewer false pairs get through.
+EXTRA = 4
 #: One word in TOUCH of the longer text may differ.
 TOUCH = 10
 _WORD = r"[\p{L}\p{Nd}]+"
@@ -137,7 +140,10 @@ def _terms(h: np.ndarray, n: np.ndarray, freq: np.ndarray | None):
 
 
 def _postings(texts: DataFrame, freq: np.ndarray) -> DataFrame:
-    """``term, tid, n, rest, floor, sq``: the inverted lists of texts long enough to allow a change."""
+    """``term, tid, n, need, sq``: the inverted lists of texts long enough to allow a change.
+
+    need is the weight that a partner must share within the lists at least.
+    """
     box = texts.sparkSession.sparkContext.broadcast(freq)  # CELLS doubles, eight megabytes
 
     def lists(batches):
@@ -155,28 +161,29 @@ def _postings(texts: DataFrame, freq: np.ndarray) -> DataFrame:
             before = np.concatenate([[0.0], upto])[start]
             total = upto[start + count - 1] - before
             rank = np.arange(len(term)) - start[owner]
-            cut_at = SHINGLE * k
-            lost = upto[start + np.minimum(cut_at, count) - 1] - before
-            floor = total - np.where(k > 0, lost, 0.0)
-            keep = (rank <= cut_at[owner]) & (k[owner] > 0)
-            rest = total[owner] - (upto - before[owner])
+            cut_at = np.minimum(SHINGLE * k, count)
+            lost = upto[start + cut_at - 1] - before
+            listed = np.minimum(cut_at + EXTRA, count)
+            rest = total - (upto[start + listed - 1] - before)
+            # the factor covers the rounding of float32 sums
+            need = np.maximum((total - lost - rest) * 0.9999, 0.5)
+            keep = (rank < listed[owner]) & (k[owner] > 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(term[keep].view(np.int64)), pa.array(tid[owner[keep]]), pa.array(n[owner[keep]].astype(np.int32)), pa.array(rest[keep].astype(np.float32)), pa.array(floor[owner[keep]].astype(np.float32)), pa.array(sq[keep].astype(np.float32))],
-                names=["term", "tid", "n", "rest", "floor", "sq"],
+                [pa.array(term[keep].view(np.int64)), pa.array(tid[owner[keep]]), pa.array(n[owner[keep]].astype(np.int32)), pa.array(need[owner[keep]].astype(np.float32)), pa.array(sq[keep].astype(np.float32))],
+                names=["term", "tid", "n", "need", "sq"],
             )
 
-    return texts.select("tid", "words").mapInArrow(lists, "term long, tid long, n int, rest float, floor float, sq float")
+    return texts.select("tid", "words").mapInArrow(lists, "term long, tid long, n int, need float, sq float")
 
 
 def _candidates(texts: DataFrame, freq: np.ndarray) -> DataFrame:
     """``ta, tb``: distinct texts, one of train and one of an evaluation split, that pass the bounds."""
-    a = _postings(texts.filter("in_eval"), freq).toDF("term", "ta", "na", "rest_a", "floor_a", "sq")
-    b = _postings(texts.filter("in_train"), freq).toDF("term", "tb", "nb", "rest_b", "floor_b", "sq_b").drop("sq_b")
-    reach = F.col("sq") + F.least("rest_a", "rest_b")
+    a = _postings(texts.filter("in_eval"), freq).toDF("term", "ta", "na", "need_a", "sq")
+    b = _postings(texts.filter("in_train"), freq).drop("sq").toDF("term", "tb", "nb", "need_b")
     close = F.abs(F.col("na") - F.col("nb")) <= F.floor(F.greatest("na", "nb") / TOUCH)
-    # the slack covers the rounding of float32 sums
-    met = a.join(b, "term").filter((F.col("ta") != F.col("tb")) & close & (reach * 1.0001 >= F.greatest("floor_a", "floor_b")))
-    return met.select("ta", "tb").distinct()
+    met = a.join(b, "term").filter((F.col("ta") != F.col("tb")) & close)
+    pairs = met.groupBy("ta", "tb").agg(F.sum("sq").alias("shared"), F.max(F.greatest("need_a", "need_b")).alias("need"))
+    return pairs.filter("shared >= need").select("ta", "tb")
 
 
 def _edit_within(wa: list[list[str]], wb: list[list[str]]) -> np.ndarray:
