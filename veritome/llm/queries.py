@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import load
-from . import block_knn, bpe, group_splits, ledger, split_overlap
+from . import block_knn, bpe, eval_leaks, group_splits, ledger, split_overlap
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -108,3 +108,15 @@ def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     back = bpe.decode(bpe.encode(docs)).join(docs, "doc_id")
     return back.agg(F.count(F.lit(1)).alias("n_docs"), F.sum((F.col("decoded") == F.col("text")).cast("bigint")).alias("n_equal"))
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    docs, items = load(spark, d, "documents", "eval_items")
+    return eval_leaks.leaks(docs, items)
+
+
+@query("p9_clean")
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    docs, items = load(spark, d, "documents", "eval_items")
+    return eval_leaks.clean_corpus(docs, items).select("doc_id")
