@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import load
-from . import block_knn, bpe, eval_leaks, group_splits, ledger, split_overlap
+from . import block_knn, bpe, eval_leaks, group_splits, ledger, reading_level, split_overlap
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -120,3 +120,10 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     docs, items = load(spark, d, "documents", "eval_items")
     return eval_leaks.clean_corpus(docs, items).select("doc_id")
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = load(spark, d, "documents", "reading_labels")
+    levels = reading_level.profile(docs)
+    return reading_level.score(levels, reading_level.fit(levels, labels))
