@@ -21,11 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, stored
 
 __all__ = ["BLOCK_ROWS", "nearest", "usable"]
 
 BLOCK_ROWS = 49_152
+#: Tables of at most so many rows of a few numbers are broadcast, after they were counted.
+SMALL_ROWS = 200_000
 _ROWS, _COLS = 1024, 512
 
 
@@ -160,12 +162,19 @@ def nearest(df: DataFrame, id_col: str, vec: str, width: int, k: int = 5, block_
     equal vectors only the k + 1 smallest ids can be anyone's neighbours, so no more are kept.
     """
     rows = df.select(F.col(id_col).alias("record_id"), F.col(vec).cast("array<float>").alias("vec")).filter(usable(F.col("vec"), width))
-    rows = rows.withColumn("k1", F.xxhash64("vec")).withColumn("k2", F.hash("vec"))
+    # classes of equal vectors are told apart by 96 bits of hash; the vectors themselves are not shuffled for it
+    keyed = stored(rows.withColumn("k1", F.xxhash64("vec")).withColumn("k2", F.hash("vec")), "vectors")
     order = F.row_number().over(W.partitionBy("k1", "k2").orderBy("record_id"))
-    few = rows.withColumn("at", order).filter(F.col("at") <= k + 1)
-    heads = few.groupBy("k1", "k2").agg(F.min("record_id").alias("rep"), F.sort_array(F.collect_list("record_id")).alias("ids"), F.first("vec").alias("vec"))
-    heads = cut(heads)
-    blocks = max(1, math.ceil(heads.count() / block_rows))
+    few = keyed.select("record_id", "k1", "k2").withColumn("at", order).filter(F.col("at") <= k + 1)
+    multi = few.groupBy("k1", "k2").agg(F.min("record_id").alias("rep"), F.sort_array(F.collect_list("record_id")).alias("ids")).filter(F.size("ids") > 1)
+    multi = cut(multi)
+    small = multi.count() <= SMALL_ROWS
+    near_side = (lambda x: F.broadcast(x)) if small else (lambda x: x)
+    twin = keyed.select("record_id", "k1", "k2").join(near_side(multi), ["k1", "k2"])
+    twin = cut(twin)
+    copies = twin.filter(F.col("record_id") != F.col("rep")).select("record_id")
+    heads = keyed.select(F.col("record_id"), "vec").join(F.broadcast(copies) if copies.count() <= SMALL_ROWS else copies, "record_id", "left_anti").withColumnRenamed("record_id", "rep")
+    blocks = max(1, math.ceil((keyed.count() - copies.count()) / block_rows))
     block = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j")
     sent = heads.select("rep", "vec", block.alias("i"), other)
@@ -174,13 +183,16 @@ def nearest(df: DataFrame, id_col: str, vec: str, width: int, k: int = 5, block_
     pairs = F.flatten(F.collect_list(F.zip_with("sims", "others", lambda s, o: F.struct((-s).alias("s"), o.alias("o")))))
     best = part.groupBy("owner").agg(F.slice(F.array_sort(pairs), 1, k).alias("best"))
 
-    multi = heads.filter(F.size("ids") > 1).select(F.col("rep").alias("o"), F.col("ids").alias("o_ids"))
+    # of the classes among the neighbours all members that can matter come in
     flat = best.select("owner", F.explode("best").alias("e")).select("owner", F.col("e.s").alias("s"), F.col("e.o").alias("o"))
-    flat = flat.join(multi, "o", "left").select("owner", "s", F.explode(F.coalesce("o_ids", F.array("o"))).alias("o"))
+    ids_of = near_side(multi.select(F.col("rep").alias("o"), F.col("ids").alias("o_ids")))
+    flat = flat.join(ids_of, "o", "left").select("owner", "s", F.explode(F.coalesce("o_ids", F.array("o"))).alias("o"))
     merged = flat.groupBy("owner").agg(F.slice(F.array_sort(F.collect_list(F.struct("s", "o"))), 1, k).alias("best"))
-    classes = heads.select(F.col("rep").alias("owner"), "k1", "k2", "ids").join(merged, "owner", "left")
-    single = classes.filter(F.size("ids") == 1).select(F.col("owner").alias("record_id"), F.explode("best").alias("e"))
-    twins = classes.filter(F.size("ids") > 1).select("k1", "k2", F.array_sort(F.concat(F.transform("ids", lambda i: F.struct(F.lit(-1.0).alias("s"), i.alias("o"))), F.coalesce("best", F.array().cast("array<struct<s:double,o:bigint>>")))).alias("all"))
-    member = rows.select("record_id", "k1", "k2").join(twins, ["k1", "k2"])
+    reps = near_side(multi.select(F.col("rep").alias("owner"), "ids"))
+    single = merged.join(reps.select("owner"), "owner", "left_anti").select(F.col("owner").alias("record_id"), F.explode("best").alias("e"))
+    none = F.array().cast("array<struct<s:double,o:bigint>>")
+    whole = multi.select(F.col("rep").alias("owner"), "ids").join(merged, "owner", "left")
+    whole = whole.select(F.col("owner").alias("rep"), F.array_sort(F.concat(F.transform("ids", lambda i: F.struct(F.lit(-1.0).alias("s"), i.alias("o"))), F.coalesce("best", none))).alias("all"))
+    member = twin.select("record_id", "rep").join(whole, "rep")
     own = member.select("record_id", F.explode(F.slice(F.expr("filter(all, e -> e.o != record_id)"), 1, k)).alias("e"))
     return single.union(own).select("record_id", F.col("e.o").alias("other_id"), (-F.col("e.s")).alias("sim"))
