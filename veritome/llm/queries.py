@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import load
-from . import block_knn, bpe, eval_leaks, group_splits, ledger, reading_level, split_overlap
+from . import block_knn, bpe, eval_leaks, group_splits, ledger, reading_level, scan_repair, split_overlap
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -127,3 +127,13 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = load(spark, d, "documents", "reading_labels")
     levels = reading_level.profile(docs)
     return reading_level.score(levels, reading_level.fit(levels, labels))
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repair.findings(scan_repair.delivered_once(load(spark, d, "docket_entries")))
+
+
+@query("p7_paragraphs")
+def p7_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repair.paragraphs(scan_repair.delivered_once(load(spark, d, "docket_entries")))
