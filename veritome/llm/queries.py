@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import load
-from . import block_knn, bpe, eval_leaks, group_splits, ledger, reading_level, scan_repair, split_overlap
+from . import block_knn, bpe, eval_leaks, group_splits, ledger, name_variants, reading_level, scan_repair, split_overlap
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -137,3 +137,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p7_paragraphs")
 def p7_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return scan_repair.paragraphs(scan_repair.delivered_once(load(spark, d, "docket_entries")))
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return name_variants.variant_pairs(load(spark, d, "quotes"))
