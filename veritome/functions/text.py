@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 __all__ = [
     "case_circuit", "case_court", "case_state", "case_year", "case_year_month", "clean", "flesch", "match_starts", "money_text",
@@ -14,14 +15,13 @@ __all__ = [
 ]
 
 
-@F.pandas_udf("string")
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
 def nfkc(c: Column) -> Column:
     """Unicode NFKC; only texts beyond ASCII pay for the Python call. Null stays null."""
-    return F.when(c.rlike(r"[^\x00-\x7F]"), _nfkc(c)).otherwise(c)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.pandas_udf(_nfkc, StringType())(c)).otherwise(c)
 
 
 # Typographic characters and what they become.
