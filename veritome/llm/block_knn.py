@@ -181,7 +181,7 @@ def nearest(df: DataFrame, id_col: str, vec: str, width: int, k: int = 5, block_
     sent = sent.select(F.least("i", "j").alias("ta"), F.greatest("i", "j").alias("tb"), F.when(F.col("i") <= F.col("j"), 0).otherwise(1).cast("int").alias("side"), "rep", "vec")
     part = sent.groupBy("ta", "tb").applyInArrow(_tile_task(k), "owner long, others array<long>, sims array<double>")
     pairs = F.flatten(F.collect_list(F.zip_with("sims", "others", lambda s, o: F.struct((-s).alias("s"), o.alias("o")))))
-    best = part.groupBy("owner").agg(F.slice(F.array_sort(pairs), 1, k).alias("best"))
+    best = stored(part.groupBy("owner").agg(F.slice(F.array_sort(pairs), 1, k).alias("best")), "neighbours")
 
     # of the classes among the neighbours all members that can matter come in
     flat = best.select("owner", F.explode("best").alias("e")).select("owner", F.col("e.s").alias("s"), F.col("e.o").alias("o"))
