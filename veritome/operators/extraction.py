@@ -41,11 +41,15 @@ def quotes(docs: DataFrame, doc_id: str, text: str, least: int = 20, most: int =
 
 def simhash(c: Column) -> Column:
     """64-bit SimHash over the last 64 bits of the MD5 of each word (X3); 0 without words."""
-    h = F.transform(words(c), lambda w: F.conv(F.substring(F.md5(w), 17, 16), 16, -10).cast("bigint"))
+    hashes = F.transform(words(c), lambda w: F.conv(F.substring(F.md5(w), 17, 16), 16, -10).cast("bigint"))
     bits = F.sequence(F.lit(0), F.lit(63))
-    votes = lambda b: F.aggregate(h, F.lit(0), lambda s, x: s + F.when(F.call_function("shiftrightunsigned", x, b).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1))
-    one = F.transform(bits, lambda b: F.when(votes(b) > 0, F.expr("1L")).otherwise(F.expr("0L")))
-    return F.aggregate(F.arrays_zip(bits.alias("b"), one.alias("v")), F.expr("0L"), lambda s, e: s.bitwiseOR(F.call_function("shiftleft", e["v"], e["b"])))
+
+    def fold(h: Column) -> Column:
+        votes = lambda b: F.aggregate(h, F.lit(0), lambda s, x: s + F.call_function("shiftrightunsigned", x, b).bitwiseAND(F.lit(1)).cast("int") * 2 - 1)
+        return F.aggregate(bits, F.expr("0L"), lambda s, b: s.bitwiseOR(F.when(votes(b) > 0, F.call_function("shiftleft", F.expr("1L"), b)).otherwise(F.expr("0L"))))
+
+    # the array of one makes the hashes a bound value, else every bit would compute them again
+    return F.get(F.transform(F.array(hashes), fold), F.lit(0))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -36,8 +36,20 @@ def session(app: str = "veritome", master: str | None = None, **conf: str) -> Sp
     return b.getOrCreate()
 
 
+def _settle(spark: SparkSession) -> None:
+    """Plan unions without pairing the partitions of their sides.
+
+    Pairing takes for granted that both sides keep equally many partitions, which adaptive
+    execution does not promise for stages it coalesces ("Can't zip RDDs with unequal numbers of
+    partitions").
+    """
+    if spark.conf.get("spark.sql.unionOutputPartitioning", "false") != "false":
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster, or a folder of our own where none is configured."""
+    _settle(spark)
     sc = spark.sparkContext
     known = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if known:
@@ -77,6 +89,7 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
 
 def load(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame | tuple[DataFrame, ...]:
     """Parquet tables of a data folder by name."""
+    _settle(spark)
     out = tuple(spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names)
     return out[0] if len(out) == 1 else out
 
