@@ -63,14 +63,17 @@ class DedupLedger:
         self.versions: dict[int, int] = {}
         self.batches = 0
 
-    def _files(self, buckets: list[int]) -> list[str]:
-        return [f"{self.path}/v{self.versions[b]}/bucket={b}" for b in buckets if b in self.versions]
-
     def _known(self, buckets: list[int]) -> DataFrame | None:
-        files = self._files(buckets)
-        if not files:
-            return None
-        return self.spark.read.option("basePath", self.path).parquet(*files).select("bucket", "key", "copies", "keep_id", "first_at", "last_at")
+        """The current rows of some buckets: one scan per version that still holds one of them."""
+        held: dict[int, list[str]] = {}
+        for b in buckets:
+            if b in self.versions:
+                held.setdefault(self.versions[b], []).append(f"{self.path}/v{self.versions[b]}/bucket={b}")
+        out = None
+        for v, files in sorted(held.items()):
+            part = self.spark.read.option("basePath", f"{self.path}/v{v}").parquet(*files).select("bucket", "key", "copies", "keep_id", "first_at", "last_at")
+            out = part if out is None else out.union(part)
+        return out
 
     def update(self, batch: DataFrame) -> None:
         """Apply one batch of ``record_id, bucket, key, at``. An empty batch changes nothing."""
