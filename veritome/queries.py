@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import ids, lexical, text, vectors
 from .operators import cases, extraction, filters, hotkeys, splits, stats
+from .plans import pipeline
 from .runtime import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -618,3 +619,15 @@ def q_events(spark: SparkSession, d: str) -> DataFrame:
 )
 def q_top_speakers(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "quotes").filter("speaker IS NOT NULL").groupBy("speaker").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "speaker").limit(20)
+
+
+@query("case_dataset")
+def q_case_dataset(spark: SparkSession, d: str) -> DataFrame:
+    r = pipeline.case_dataset(load(spark, d, "quotes").filter("case_year IS NOT NULL"), "case_id", "record_id", "case_year", "score")
+    return r.select("case_id", "fold", "role", "case_year", "bucket")
+
+
+@query("quote_pipeline")
+def q_quote_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    r = pipeline.quote_table(load(spark, d, "documents"), "doc_id", "text")
+    return r.select("doc_id", "para", "pos", "speaker", "quote", "quote_id")
