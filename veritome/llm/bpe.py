@@ -125,12 +125,14 @@ def encode(df: DataFrame, id_col: str = "doc_id", text: str = "text", ranks: str
     toks = F.transform("i", lambda x, k: F.coalesce(x, -F.array_position(F.col("rest"), F.get(F.col("w"), k)).cast("int")))
     base = stored(rest.select("row", "doc_id", "rest", toks.alias("toks")), "bpe")
     holds = base.filter(F.size("rest") > 0).select("row", F.posexplode("rest").alias("place", "word"))
-    coded = stored(holds.select("word").distinct().select("word", _with_rank(ranks, lambda rank: _fold(F.col("word"), rank)).alias("ids")), "bpe-words")
+    # few bytes but much work a word: a fixed number of partitions, which adaptive execution does not coalesce
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    coded = stored(holds.select("word").distinct().repartition(parts).select("word", _with_rank(ranks, lambda rank: _fold(F.col("word"), rank)).alias("ids")), "bpe-words")
     back = holds.join(coded, "word").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("parts"))
     full = base.select("row", "doc_id", "toks").join(back, "row", "left")
-    parts = F.transform("parts", lambda p: p["ids"])
+    codes = F.transform("parts", lambda p: p["ids"])
     ids = F.flatten(F.transform("toks", lambda t: F.when(t >= 0, F.array(t)).otherwise(F.get(F.col("codes"), -t - 1))))
-    return full.select("doc_id", "toks", parts.alias("codes")).select("doc_id", ids.alias("ids"))
+    return full.select("doc_id", "toks", codes.alias("codes")).select("doc_id", ids.alias("ids"))
 
 
 def decode(df: DataFrame, ids: str = "ids", ranks: str = DEFAULT_RANKS) -> DataFrame:
