@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import contracts
 from .functions import ids, lexical, text, vectors
 from .operators import cases, extraction, filters, hotkeys, splits, stats
 from .plans import pipeline
@@ -631,3 +632,11 @@ def q_case_dataset(spark: SparkSession, d: str) -> DataFrame:
 def q_quote_pipeline(spark: SparkSession, d: str) -> DataFrame:
     r = pipeline.quote_table(load(spark, d, "documents"), "doc_id", "text")
     return r.select("doc_id", "para", "pos", "speaker", "quote", "quote_id")
+
+
+@query(
+    "valid_quotes",
+    "SELECT record_id FROM quotes WHERE length(trim(doc_id)) > 0 AND length(trim(text)) > 0",
+)
+def q_valid_quotes(spark: SparkSession, d: str) -> DataFrame:
+    return contracts.validate(load(spark, d, "quotes"), "quote")[0].select("record_id")
