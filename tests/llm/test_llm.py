@@ -99,6 +99,20 @@ def test_variant_pairs(spark):
     assert name_variants.variant_pairs(df.filter("false")).count() == 0
 
 
+def test_frequent_misspellings_link_at_every_size(spark, monkeypatch):
+    # "waltter" and "walter" both stand beside many surnames, as in a large corpus; albert and robert are as frequent as each other
+    ends = [x * 3 + y * 3 for x in ("ba", "ce", "di", "fo", "gu", "ha", "je", "ki", "lo", "mu", "na", "pe", "ri", "so", "tu", "va", "we", "zi") for y in ("tak", "bev", "gorl", "zind", "pruf", "hesk", "lomn", "vick", "quar", "nyst", "dwel", "sharm")]
+    names = [f"Walter {e}" for e in ends] + [f"Waltter {e}" for e in ends[::12]] + [f"Qalter {ends[0]}"]
+    names += [f"{g} {e}" for g in ("Albert", "Robert") for e in ends[:24]]
+    df = spark.createDataFrame([(n,) for n in names], "speaker string")
+    got = {(r.speaker_a, r.speaker_b) for r in name_variants.variant_pairs(df).collect()}
+    want = {(f"Walter {e}", f"Waltter {e}") for e in ends[::12]} | {(f"Qalter {ends[0]}", f"{g} {ends[0]}") for g in ("Walter", "Waltter")}
+    assert got == want
+    for anchor in (0, 1_000_000):  # where names meet does not change what is linked
+        monkeypatch.setattr(name_variants, "ANCHOR", anchor)
+        assert {(r.speaker_a, r.speaker_b) for r in name_variants.variant_pairs(df).collect()} == want
+
+
 # --- 4
 
 
