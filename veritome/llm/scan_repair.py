@@ -4,7 +4,8 @@ Lines are labelled by a hidden Markov model with the states body, furniture (run
 footers, page numbers, stamps) and break. Its observations are layout symbols of a line: its
 shape, whether the same shape comes back within the document, and whether it stands at a page
 edge. Start labels come from the shapes; emissions and transitions are then counted over all
-documents and every document is labelled by the Viterbi path.
+documents and every document is labelled by the Viterbi path. The counts favour the start labels,
+so in effect the labels are those of the shapes.
 
 Words continued on the next line of text are joined, also across page furniture. Misread words
 are found among the distinct words of the corpus: undoing one or two of the known confusions of
@@ -90,7 +91,7 @@ class _Model:
     """Log probabilities of the hidden Markov model.
 
     Counts are smoothed by one, and by PRIOR for the state that a symbol's shape speaks for, so that
-    a small corpus is read by shape.
+    a small corpus is read by shape; in a large one the counts themselves keep to the shapes.
     """
 
     def __init__(self, emit: np.ndarray, move: np.ndarray):
