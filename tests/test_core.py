@@ -132,6 +132,16 @@ def test_cases_and_splits(spark):
     assert splits.embargo(at, spark.createDataFrame([(dt.date(2020, 1, 25),)], "at date"), "at", 10).count() == 2
 
 
+def test_support_bias_and_fold_overlap(spark):
+    rows = [("a", 1.0)] * 3 + [("b", 0.0)] + [("c", None)] * 2
+    got = {r.k: r for r in splits.support_bias_weights(spark.createDataFrame(rows, "k string, y double"), "k", "y").collect()}
+    assert {k: round(r.weight, 6) for k, r in got.items()} == {"a": 0.8, "b": 1.333333, "c": 1.0}
+    assert round(got["a"].row_weight, 6) == 0.266667 and abs(got["a"].size_outcome - 1) < 1e-9
+    df = spark.createDataFrame([(0, "train", "a", "x"), (0, "train", "a", "y"), (1, "train", "b", "y"), (1, "test", "c", "z"), (2, "train", "d", None), (3, "train", "e", None)], "fold int, role string, k string, s string")
+    assert {(r.fold_a, r.fold_b): round(r.jaccard, 6) for r in splits.fold_overlap(df, "fold", "s").collect()} == {(0, 1): 0.333333, (0, 2): 0.0, (0, 3): 0.0, (1, 2): 0.0, (1, 3): 0.0, (2, 3): 1.0}
+    assert {(r.fold, r.role, r.k): (r.n_rows, r.n_cases) for r in splits.fold_report(df, "fold", "role", "k", "k").collect()}[0, "train", "a"] == (2, 1)
+
+
 def test_stats(spark):
     df = spark.createDataFrame([(0.1, 0), (0.4, 0), (0.35, 1), (0.8, 1)], "s double, y int")
     assert stats.auc(df, "s", "y").first().auc == 0.75

@@ -1,4 +1,4 @@
-"""From quotes to cases: positional features, summaries, outcome classes, merges."""
+"""From quotes to cases: positional features, summaries, outcome classes, merges."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Table-generating operators over documents: quotes, speakers, amounts, positions."""
+"""Table-generating operators over documents: quotes, speakers, amounts, positions."""
 
 from __future__ import annotations
 

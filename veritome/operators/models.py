@@ -1,4 +1,4 @@
-"""Models on pyspark.ml and the column arithmetic around them (M1-M9)."""
+"""Models on pyspark.ml and the column arithmetic around them (M1, M2, M4, M5, M9)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Leakage-safe temporal splits and weights."""
+"""Leakage-safe temporal splits and weights."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 __all__ = [
-    "class_weights", "early_prefix", "embargo", "first_per_key", "midpoint_edges", "purge", "quantile_blocks", "rolling_folds",
-    "stratified_folds", "support_weights", "tempered_weights", "within_group_z",
+    "class_weights", "early_prefix", "embargo", "first_per_key", "fold_overlap", "fold_report", "midpoint_edges", "purge", "quantile_blocks",
+    "rolling_folds", "stratified_folds", "support_bias_weights", "support_weights", "tempered_weights", "within_group_z",
 ]
 
 
@@ -125,6 +125,33 @@ def tempered_weights(df: DataFrame, label: str, key: str, alpha: float = 0.5, be
     return rows.join(F.broadcast(mean), F.lit(True)).withColumn("weight", F.col("_w") / F.col("_m")).drop("_c", "_s", "_w", "_m")
 
 
+def support_bias_weights(df: DataFrame, key: str, outcome: str) -> DataFrame:
+    """Per case 1 / (1 + (rows / mean rows - 1) / 2), the weight of each of its rows, and the correlation of size and outcome.
+
+    The mean and the correlation are over cases with an outcome, which is the same in all rows of a case.
+    """
+    per = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"), F.max(outcome).alias("_y"))
+    known = F.col("_y").isNotNull()
+    whole = per.agg(F.avg(F.when(known, F.col("n_rows"))).alias("_m"), F.corr(F.when(known, F.col("n_rows")), F.col("_y")).alias("size_outcome"))
+    weight = 1 / (1 + 0.5 * (F.col("n_rows") / F.col("_m") - 1))
+    return per.join(F.broadcast(whole), F.lit(True)).select(key, "n_rows", weight.alias("weight"), (weight / F.col("n_rows")).alias("row_weight"), "size_outcome")
+
+
+def fold_report(df: DataFrame, fold: str, role: str, key: str, label: str) -> DataFrame:
+    """Rows and cases of every label in every fold and role."""
+    return df.groupBy(fold, role, label).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(key).alias("n_cases"))
+
+
+def fold_overlap(df: DataFrame, fold: str, value: str) -> DataFrame:
+    """``fold_a, fold_b, jaccard``: shared values by all values of every two folds (A22); nulls count for nothing, two folds without values are equal."""
+    has = df.select(F.col(fold).alias("f"), F.col(value).alias("v")).distinct()
+    size = has.groupBy("f").agg(F.count("v").alias("n"))
+    both = has.toDF("fold_a", "v").join(has.toDF("fold_b", "v"), "v").groupBy("fold_a", "fold_b").agg(F.count(F.lit(1)).alias("k"))
+    pairs = size.toDF("fold_a", "n_a").join(size.toDF("fold_b", "n_b"), F.col("fold_a") < F.col("fold_b")).join(both, ["fold_a", "fold_b"], "left").na.fill(0, ["k"])
+    whole = F.col("n_a") + F.col("n_b") - F.col("k")
+    return pairs.select("fold_a", "fold_b", F.when(whole == 0, 1.0).otherwise(F.col("k") / F.nullif(whole, F.lit(0))).alias("jaccard"))
+
+
 def early_prefix(df: DataFrame, key: str, at: str, share: float) -> DataFrame:
     """Rows within the first share of the span of their case, at least one hundredth of it."""
     w = W.partitionBy(key)

@@ -1,4 +1,4 @@
-"""Validation statistics by ranks and bins; only aggregated rows ever meet one task."""
+"""Validation statistics by ranks and bins; only aggregated rows ever meet one task."""
 
 from __future__ import annotations
 
