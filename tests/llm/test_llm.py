@@ -89,6 +89,19 @@ def test_same_name(a, b, same):
     assert bool(name_variants.same_name(name_variants.parse_name(a), name_variants.parse_name(b), {"harold", "gerald"})) == same
 
 
+@pytest.mark.parametrize(
+    "a, b, same",
+    [
+        ("Maria Bill Juana Dolores Rokuzon", "Maria William Jauna Dolores Rokuzon", True),
+        ("Maria Pilar Juana D. Rokuzon Tridogur", "Rokuzon Tridogur, Maria Pilar Juana Dolores", True),
+        ("Maria Pilar Juana Dolores Rokuzon", "Maria Pilar Juana Esther Rokuzon", False),
+        (" ".join(["Nana"] * 30), " ".join(["Nana"] * 29 + ["Nanna"]), True),
+    ],
+)
+def test_same_name_of_many_tokens(a, b, same):
+    assert (name_variants.same_name(name_variants.parse_name(a), name_variants.parse_name(b), set()) is not None) == same
+
+
 def test_variant_pairs(spark):
     names = ["Thomas Rokuzon", "thomas rokuzon", "Rokuzon, Thomas", "Esther Rokuzon", "Thomsa Rokuzon", "T. Rokuzon", "E. Rokuzon", "Unknown", "unknown ", None, "", "...", "Court"]
     df = spark.createDataFrame([(n,) for n in names for _ in range(2)], "speaker string").withColumn("name", F.lit(1))
