@@ -222,6 +222,16 @@ def test_scan_repair(spark):
     assert scan_repair.findings(none).count() == 0
 
 
+def test_hyphens_beyond_the_trusted_words(spark, monkeypatch):
+    monkeypatch.setattr(scan_repair, "TRUSTED", 5)
+    common = "the court found that claim was"
+    docs = spark.createDataFrame([("a", f"{common}\n" * 9 + "a cross-motion came before it was heard.\n" * 3), ("b", "the court found that the cross-\nmotion was a cla-\nim and nothing more.")], "doc_id string, text string")
+    fitted = scan_repair.repair(docs)
+    got = {(r.line_no, r.fixed) for r in scan_repair.findings(docs, fitted).filter("doc_id = 'b' AND kind = 'split_word'").collect()}
+    assert got == {(1, "cross-motion"), (2, "claim")}
+    assert [r.text for r in scan_repair.paragraphs(docs, fitted).filter("doc_id = 'b'").collect()] == ["the court found that the cross-motion was a claim and nothing more."]
+
+
 # --- 8
 
 

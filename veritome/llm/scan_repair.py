@@ -274,14 +274,18 @@ def _trusted(words: DataFrame, wrong: DataFrame) -> dict[str, int]:
     return {r["word"]: r["n"] for r in top.collect()}
 
 
-def _whole(a: str, b: str, known: dict[str, int]) -> str:
-    """The continued word: with its hyphen where that form is the more frequent one."""
-    plain, dashed = _join(a, b)
-    return dashed if known.get(dashed, 0) > known.get(plain, 0) else plain
+def _dashed(words: DataFrame, wrong: DataFrame) -> DataFrame:
+    """``word, forms``: every word that is more frequent with a hyphen, with its forms with one. Misreadings count for nothing."""
+    right = words.join(wrong.select(F.col("wrong").alias("word")), "word", "left_anti")
+    at = F.posexplode(F.split("word", "")).alias("at", "c")
+    each = right.filter(F.col("word").contains("-")).select("word", "n", at).filter("c = '-'")
+    each = each.select(F.expr("concat(substring(word, 1, at), substring(word, at + 2))").alias("plain"), F.col("word").alias("form"), "n")
+    met = each.join(right.toDF("plain", "seen"), "plain", "left").filter("n > coalesce(seen, 0)")
+    return met.groupBy(F.col("plain").alias("word")).agg(F.collect_set("form").alias("forms"))
 
 
 def _read(model: _Model, known: dict[str, int]):
-    """Rows of doc_id, line, kind, word, half: furniture, continued words and words that are not trusted."""
+    """Rows of doc_id, line, kind, word, dashed, half: furniture, continued words and words that are not trusted."""
 
     def run(batches):
         memo: dict[str, str | None] = {}
@@ -304,29 +308,41 @@ def _read(model: _Model, known: dict[str, int]):
                 cut_end = {h[0] for h in halves}
                 cut_start = {h[1] for h in halves}
                 for k, nxt, a, c in halves:
-                    out.append((doc, k + 1, "split_word", _whole(a, c, known), _plain(a[:-1]), nxt + 1))
+                    out.append((doc, k + 1, "split_word", *_join(a, c), _plain(a[:-1]), nxt + 1))
                 for k, s in enumerate(lab):
                     if s == _FURN:
-                        out.append((doc, k + 1, "furniture", "", None, None))
+                        out.append((doc, k + 1, "furniture", "", None, None, None))
                     elif s == _BODY:
                         w = lines[k].split()
                         for t in w[int(k in cut_start) : len(w) - int(k in cut_end)]:
                             x = suspect(t)
                             if x is not None:
-                                out.append((doc, k + 1, "misread", x, None, None))
+                                out.append((doc, k + 1, "misread", x, None, None, None))
             for k in range(0, len(out), 20000):
                 part = out[k : k + 20000]
-                types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in part], types[i]) for i in range(6)], names=["doc_id", "line_no", "kind", "word", "half", "next_no"])
+                types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in part], types[i]) for i in range(7)], names=["doc_id", "line_no", "kind", "word", "dashed", "half", "next_no"])
 
     return run
 
 
 def repair(docs: DataFrame):
-    """What a corpus needs for its repair: line model, misread words (stored) and trusted words."""
+    """What a corpus needs for its repair: line model, misread and hyphenated words (stored) and trusted words, which only save work."""
     model, words = _fit(docs)
     wrong = stored(_corrections(words), "misread")
-    return model, wrong, _trusted(words, wrong)
+    fixes = wrong.withColumnRenamed("wrong", "word").join(_dashed(words, wrong), "word", "full")
+    return model, stored(fixes, "fixes"), _trusted(words, wrong)
+
+
+_ROWS = "doc_id string, line_no int, kind string, word string, dashed string, half string, next_no int"
+
+
+def _fixed(docs: DataFrame, fitted) -> DataFrame:
+    """The rows of ``_read`` with ``right`` for misread words; a continued word has its hyphen where that form is the more frequent one."""
+    model, fixes, known = fitted
+    rows = docs.mapInArrow(_read(model, known), _ROWS).join(fixes, "word", "left")
+    keeps = F.coalesce(F.array_contains("forms", F.col("dashed")), F.lit(False))
+    return rows.withColumns({"keeps": keeps, "word": F.when(keeps, F.col("dashed")).otherwise(F.col("word")), "right": F.when(~keeps, F.col("right"))})
 
 
 def findings(docs: DataFrame, fitted=None) -> DataFrame:
@@ -337,9 +353,7 @@ def findings(docs: DataFrame, fitted=None) -> DataFrame:
     is both continued and misread is reported as both, the misreading on the line that shows it.
     Empty texts have nothing to repair; equal rows come out once.
     """
-    model, wrong, known = fitted or repair(docs)
-    rows = docs.mapInArrow(_read(model, known), "doc_id string, line_no int, kind string, word string, half string, next_no int")
-    rows = rows.join(wrong, rows["word"] == wrong["wrong"], "left").filter("kind <> 'misread' OR right IS NOT NULL")
+    rows = _fixed(docs, fitted or repair(docs)).filter("kind <> 'misread' OR right IS NOT NULL")
     starts = F.col("right").startswith(F.col("half"))
     ends = F.col("right").endswith(F.expr("substring(word, length(half) + 1)"))
     both = F.array(
@@ -357,15 +371,18 @@ def paragraphs(docs: DataFrame, fitted=None) -> DataFrame:
     A blank line between lines of text ends a paragraph unless the text before it is cut within a
     sentence at a page edge. A corrected word keeps its punctuation, and its capital where it had one.
     """
-    model, wrong, known = fitted or repair(docs)
-    rows = docs.mapInArrow(_read(model, known), "doc_id string, line_no int, kind string, word string, half string, next_no int")
-    fixes = rows.join(wrong, rows["word"] == wrong["wrong"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("wrong", "right"))).alias("fixes"))
+    fitted = fitted or repair(docs)
+    model = fitted[0]
+    # a continued word that keeps its hyphen stands for itself
+    rows = _fixed(docs, fitted).filter("keeps OR right IS NOT NULL").select("doc_id", F.struct("word", F.when(~F.col("keeps"), F.col("right")).alias("right"), "keeps").alias("fix"))
+    fixes = rows.groupBy("doc_id").agg(F.collect_set("fix").alias("f"))
 
     def run(batches):
         for b in batches:
             out = []
             for doc, text, fix in zip(*(b.column(i).to_pylist() for i in range(3))):
-                table = dict(fix or [])
+                table = {x["word"]: x["right"] for x in fix or [] if not x["keeps"]}
+                dashes = {x["word"] for x in fix or [] if x["keeps"]}
                 lines = _lines(text)
                 lab = model.label(_symbols(lines))
                 joins = {k: (nxt, a, c) for k, nxt, a, c in _splits(lines, lab)}
@@ -389,7 +406,7 @@ def paragraphs(docs: DataFrame, fitted=None) -> DataFrame:
                     skip = k in joins
                     if skip:
                         _, a, c = joins[k]
-                        w[-1:] = [(a[:-1] + ("-" if "-" in _whole(a, c, known) else "") + c)]
+                        w[-1:] = [(a[:-1] + ("-" if _join(a, c)[1] in dashes else "") + c)]
                     for t in w:
                         p = _plain(t)
                         if p in table:
@@ -400,4 +417,4 @@ def paragraphs(docs: DataFrame, fitted=None) -> DataFrame:
                 out += [(doc, n + 1, " ".join(p)) for n, p in enumerate(x for x in paras if x)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.string())], names=["doc_id", "para_no", "text"])
 
-    return docs.join(fixes, "doc_id", "left").select("doc_id", "text", F.map_entries("fixes").alias("f")).select("doc_id", "text", F.transform("f", lambda e: F.array(e["key"], e["value"])).alias("f")).mapInArrow(run, "doc_id string, para_no int, text string")
+    return docs.join(fixes, "doc_id", "left").select("doc_id", "text", "f").mapInArrow(run, "doc_id string, para_no int, text string")
