@@ -3,10 +3,12 @@
 import datetime as dt
 import json
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from veritome import queries
 from veritome.functions import ids, lexical, text, vectors
 from veritome.operators import cases, extraction, filters, hotkeys, models, splits, stats
 from veritome.operators.components import connected_components
@@ -38,6 +40,25 @@ def test_clean(spark, raw, want):
     assert one(spark, text.clean(F.col("t")), t=raw) == want
 
 
+def _cleaned(t):
+    """The cleaner in plain Python."""
+    if t is None:
+        return None
+    t = re.sub(r"(?m)^\s*Page \d+ of \d+\s*$", "", t)
+    t = re.sub(r"(?m)^(?:Id\.|Federal Trade Commission).*\n", "", t)
+    t = re.sub(r"[ \t]+", " ", re.sub(r"\s*\[\d+\]", "", t))
+    t = re.sub(r"(?m)^\s*\d+\s*$", "", t).replace("-\n", "")
+    t = re.sub(r"(?m)^[ \t]+", "", re.sub(r"(?<!\n)\n(?!\n)", " ", t))
+    return re.sub(r" {2,}", " ", re.sub(r"(?m)[ \t]+$", "", re.sub(r"\n{3,}", "\n\n", t)).strip())
+
+
+def test_clean_text_rows(spark, tmp_path):
+    rows = [(1, "Page 1 of 2\nThe  court [3] held\nthat it was guar-\nanteed.\n\n\n\n 12 \n\nNext   one."), (2, None), (3, ""), (4, "Id. at 5\nkept\tall"), (5, "  plain text  ")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.text for r in queries.QUERIES["clean_text_rows"](spark, str(tmp_path)).collect()}
+    assert got == {i: _cleaned(t) for i, t in rows}
+
+
 def test_text_scalars(spark):
     assert one(spark, text.normalize_for_hash(F.col("t")), t="  “Hi”  there!?") == '"hi" there'
     assert one(spark, text.normalize_for_hash(F.col("t")), t=None) == ""

@@ -102,6 +102,11 @@ def q_clean_text(spark: SparkSession, d: str) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("t").contains("  ")).alias("n_single_spaced"))
 
 
+@query("clean_text_rows")
+def q_clean_text_rows(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "documents").select("doc_id", text.clean(F.col("text")).alias("text"))
+
+
 @query(
     "lexicon_rates",
     f"""WITH w AS (SELECT record_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS t FROM quotes WHERE text IS NOT NULL)
