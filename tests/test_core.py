@@ -163,6 +163,13 @@ def test_support_bias_and_fold_overlap(spark):
     assert {(r.fold, r.role, r.k): (r.n_rows, r.n_cases) for r in splits.fold_report(df, "fold", "role", "k", "k").collect()}[0, "train", "a"] == (2, 1)
 
 
+def test_merge_of_whole_tables(spark, tmp_path):
+    rows = [(1, "a", None, "x"), (2, "a", 0.5, None), (3, "a", 0.7, "z"), (4, "b", None, None), (5, None, None, "y"), (7, None, 0.1, "w")]
+    spark.createDataFrame(rows, "record_id long, quote_id string, score double, context string").write.parquet(str(tmp_path / "quotes.parquet"))
+    got = {tuple(r) for r in queries.QUERIES["fingerprint_merge_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0.5, "x"), (2, 0.5, "z"), (3, 0.7, "z"), (4, None, None), (5, None, "y"), (7, 0.1, "w")}
+
+
 def test_stats(spark):
     df = spark.createDataFrame([(0.1, 0), (0.4, 0), (0.35, 1), (0.8, 1)], "s double, y int")
     assert stats.auc(df, "s", "y").first().auc == 0.75

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import contracts
@@ -375,6 +376,18 @@ def q_merge(spark: SparkSession, d: str) -> DataFrame:
     return cases.fingerprint_merge(q.filter("record_id % 2 = 0"), q.filter("record_id % 2 = 1"), "quote_id", "record_id", ["score", "context"]).select("record_id", "score", "context")
 
 
+@query(
+    "fingerprint_merge_whole",
+    """WITH a AS (SELECT *, row_number() OVER (PARTITION BY quote_id ORDER BY record_id) AS k FROM quotes)
+       SELECT a.record_id, coalesce(a.score, b.score) AS score, coalesce(a.context, b.context) AS context FROM a LEFT JOIN a b ON a.quote_id = b.quote_id AND a.k = b.k - 1""",
+)
+def q_merge_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All quotes, filled from the later deliveries of the same quote_id."""
+    q = load(spark, d, "quotes")
+    later = q.withColumn("_at", F.row_number().over(W.partitionBy("quote_id").orderBy("record_id"))).filter("_at > 1").drop("_at")
+    return cases.fingerprint_merge(q, later, "quote_id", "record_id", ["score", "context"]).select("record_id", "score", "context")
+
+
 @query(
     "quarterly_metrics",
     """SELECT date_trunc('quarter', o_orderdate)::TIMESTAMP AS quarter, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1 HAVING count(*) >= 10""",
