@@ -236,11 +236,15 @@ def test_hyphens_beyond_the_trusted_words(spark, monkeypatch):
 
 
 @pytest.mark.skipif(not os.path.exists(bpe.DEFAULT_RANKS), reason="no vocabulary file")
-def test_bpe_round_trip_and_library(spark):
+@pytest.mark.parametrize("head, few, long_", [(bpe.HEAD, bpe.FEW, bpe.LONG), (2, 0, 4), (2, 256, 4)])
+def test_bpe_round_trip_and_library(spark, monkeypatch, head, few, long_):
+    # where a word is encoded and how it returns does not change its ids
+    for name, v in (("HEAD", head), ("FEW", few), ("LONG", long_)):
+        monkeypatch.setattr(bpe, name, v)
     tokenizers = pytest.importorskip("tokenizers")
     tk = tokenizers.Tokenizer.from_file(bpe.DEFAULT_RANKS.replace(".tiktoken", ".json"))
     tk.encode_special_tokens = True
-    texts = [None, "", " ", "\n\n  x", "aaaaaaaaaaaaa", "Hello world's  best <|endoftext|> naïve 東京 👍🏽", "x" * 300 + " Zqxjv 12345678901", "  a\tb\r\n", "don't I'll WE'VE", "hello hello hello"]
+    texts = [None, "", " ", "\n\n  x", "aaaaaaaaaaaaa", "Hello world's  best <|endoftext|> naïve 東京 👍🏽", "x" * 300 + " Zqxjv 12345678901", "  a\tb\r\n", "don't I'll WE'VE", "hello hello hello", "zyxw" * 50_000 + " end", " ".join(f"q{k}zx" for k in range(400))]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"w": F.lit(1), "row": F.lit(2)})
     enc = bpe.encode(df)
     got = {r.doc_id: list(r.ids) for r in enc.collect()}
