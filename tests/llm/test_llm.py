@@ -178,8 +178,10 @@ def test_ledger(spark):
 # --- 6
 
 
-@pytest.mark.parametrize("block_rows", [10_000, 60])
-def test_nearest_equals_brute_force(spark, block_rows):
+@pytest.mark.parametrize("cell_rows, tile_rows, groups", [(10_000, 10_000, 8), (20, 10_000, 8), (20, 7, 8), (1, 10_000, 2)])
+def test_nearest_equals_brute_force(spark, monkeypatch, cell_rows, tile_rows, groups):
+    monkeypatch.setattr(block_knn, "TILE_ROWS", tile_rows)
+    monkeypatch.setattr(block_knn, "NEAR_GROUPS", groups)
     rng = np.random.default_rng(5)
     X = rng.normal(size=(200, 8)).astype(np.float32)
     X[20:40] = X[0:20] * 3
@@ -194,12 +196,24 @@ def test_nearest_equals_brute_force(spark, block_rows):
     for a in range(len(X)):
         o = [b for b in np.lexsort((ids, -S[a])) if b != a][:5]
         want |= {(int(ids[a]), int(ids[b])) for b in o}
-    got = {(r.record_id, r.other_id) for r in block_knn.nearest(df, "record_id", "v", 8, block_rows=block_rows).collect()}
-    assert got == want
+    got = {(r.record_id, r.other_id) for r in block_knn.nearest(df, "record_id", "v", 8, cell_rows=cell_rows, probes=1000).collect()}
+    assert got == want  # with as many probes as blocks
     assert block_knn.nearest(df.filter("record_id > 5000"), "record_id", "v", 8).count() == 0
     assert block_knn.nearest(df.filter(df.record_id == int(ids[0])), "record_id", "v", 8).count() == 0
 
 
+def test_nearest_recall_of_the_index(spark):
+    rng = np.random.default_rng(8)
+    X = np.repeat(rng.normal(size=(600, 16)), 8, axis=0) + 0.15 * rng.normal(size=(4800, 16))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(X)], "record_id long, v array<float>")
+    U = X / np.linalg.norm(X, axis=1)[:, None]
+    S = U @ U.T
+    np.fill_diagonal(S, -2)
+    want = {(a, int(b)) for a in range(len(X)) for b in np.argpartition(-S[a], 5)[:5]}
+    got = {(r.record_id, r.other_id) for r in block_knn.nearest(df, "record_id", "v", 16, cell_rows=100).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+
+
 # --- 7
 
 
