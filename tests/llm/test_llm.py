@@ -175,6 +175,33 @@ def test_ledger(spark):
     assert kept.records().count() == 0 and ledger.copies_of(keyed, kept).count() == 0
 
 
+def test_ledger_reopens(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ledger, "BUCKET_ROWS", 16)
+    path = str(tmp_path / "ledger")
+    part = lambda lo, hi: spark.range(lo, hi).select(F.col("id").alias("record_id"), F.unhex(F.md5((F.col("id") % 90).cast("string"))).alias("key"), F.timestamp_seconds("id").alias("at"))
+    state = lambda x: sorted((bytes(r.key), r.copies, r.keep_id, r.first_at, r.last_at) for r in x.records().collect())
+    first = ledger.DedupLedger(spark, path)
+    assert first.update(part(100, 200), "a") and first.state["buckets"] > 1
+    again = ledger.DedupLedger(spark, path)
+    assert state(again) == state(first) and again.batches == ["a"]
+    assert not again.update(part(100, 200), "a") and sum(r[1] for r in state(again)) == 100
+    # dies after the data and before the manifest
+    with monkeypatch.context() as m:
+        m.setattr(ledger._Folder, "publish", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            ledger.DedupLedger(spark, path).update(part(0, 100), "b")
+    third = ledger.DedupLedger(spark, path)
+    assert state(third) == state(again) and third.batches == ["a"]
+    assert third.update(part(0, 100), "b") and third.update(part(200, 203), "c") and third.update(part(0, 0), "d")
+    whole = ledger.DedupLedger(spark, str(tmp_path / "whole"))
+    whole.update(part(0, 203))
+    assert state(ledger.DedupLedger(spark, path)) == state(whole)
+    kept = {f"bucket={b}" for b, v in third.state["at"].items() if v == 1}
+    assert len(third.folder.names("manifest")) == 2 and {d for d in third.folder.names("v1") if d.startswith("bucket=")} == kept
+    with pytest.raises(FileExistsError):
+        first.update(part(0, 1), "late")
+
+
 # --- 6
 
 

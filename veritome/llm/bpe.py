@@ -195,13 +195,14 @@ def encode(df: DataFrame, id_col: str = "doc_id", text: str = "text", ranks: str
     few = F.size("rest") <= FEW
     toks = F.when(few, F.transform("i", lambda x, k: F.coalesce(x, -F.array_position("rest", F.get(F.col("w"), k)).cast("int")))).otherwise(F.transform("i", lambda x: F.coalesce(x, F.lit(-1))))
     line = F.when(~few, F.zip_with("i", "w", lambda x, c: F.when(x.isNull(), c)))
-    base = stored(rest.select("row", "doc_id", toks.alias("toks"), "rest", line.alias("line")), "bpe")
+    base = stored(rest.select("row", "doc_id", toks.alias("toks"), "rest", line.alias("line"), F.exists("rest", lambda c: F.octet_length(c) > HEAD_BYTES).alias("long")), "bpe")
 
     words = base.select(F.explode("rest").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     # few bytes but much work a word: a fixed number of partitions, which adaptive execution does not coalesce
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     coded = stored(_coded(words.repartition(parts), ranks), "bpe-words")
-    top = coded.filter(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD).collect()
+    fit = coded.filter(F.octet_length("word") <= HEAD_BYTES)
+    top = fit.orderBy(F.desc("n"), "word").limit(HEAD).collect()
     head = _slots({r["word"].encode(): {"k": r["word"], "v": r["ids"]} for r in top})
 
     def filled(slot, value):
@@ -211,18 +212,21 @@ def encode(df: DataFrame, id_col: str = "doc_id", text: str = "text", ranks: str
         return F.when(F.col("line").isNull(), by_place).otherwise(in_line)
 
     # null where a word is not among the frequent ones
-    full = base.select("row", "doc_id", "toks", "rest", "line", _with_table(_literal(head, "k:string,v:array<int>"), filled).alias("ids"))
-    if coded.count() == len(top):
-        return full.select("doc_id", "ids")
-    full = stored(full.withColumns({c: F.when(F.col("ids").isNull(), F.col(c)) for c in ("toks", "rest", "line")}), "bpe-docs")
-    rare = full.filter("ids IS NULL").select("row", "doc_id", "toks", "rest", "line")
+    ids = _with_table(_literal(head, "k:string,v:array<int>"), filled).alias("ids")
+    cols = ["row", "doc_id", "toks", "rest", "line"]
+    if fit.count() == len(top):  # then only long words can be missing, and their documents are known
+        full, rare = base.filter("NOT long").select("doc_id", ids), base.filter("long").select(*cols)
+    else:
+        full = base.select(*cols, ids)
+        full = stored(full.withColumns({c: F.when(F.col("ids").isNull(), F.col(c)) for c in cols[2:]}), "bpe-docs")
+        full, rare = full.filter("ids IS NOT NULL").select("doc_id", "ids"), full.filter("ids IS NULL").select(*cols)
     word = lambda t, k: F.when(F.col("line").isNull(), F.get("rest", -t - 1)).otherwise(F.get("line", k))
     gaps = rare.select("row", F.explode(F.filter(F.transform("toks", lambda t, k: F.when(t < 0, F.struct(k.alias("k"), word(t, k).alias("w")))), lambda e: e.isNotNull())).alias("g"))
     back = gaps.select("row", "g.k", F.col("g.w").alias("word")).join(coded.select("word", "ids"), "word")
     back = back.groupBy("row").agg(F.collect_list(F.struct("k", F.col("ids").alias("v"))).alias("codes"))
     own = F.filter(F.transform("toks", lambda t, k: F.when(t >= 0, F.struct(k.alias("k"), F.array(t).alias("v")))), lambda e: e.isNotNull())
     ids = F.flatten(F.transform(F.array_sort(F.concat(own, "codes")), lambda e: e["v"]))
-    return full.filter("ids IS NOT NULL").select("doc_id", "ids").union(rare.join(back, "row").select("doc_id", ids.alias("ids")))
+    return full.union(rare.join(back, "row").select("doc_id", ids.alias("ids")))
 
 
 def decode(df: DataFrame, ids: str = "ids", ranks: str = DEFAULT_RANKS) -> DataFrame:
