@@ -149,10 +149,12 @@ def test_splits_keep_groups_together(spark):
 
 
 def test_split_shares(spark):
-    rows = spark.range(3000).select(F.col("id").alias("record_id"), F.concat(F.lit("u"), (F.col("id") % 300).cast("string")).alias("unit"), (F.col("id") % 3).cast("int").alias("label_cell"))
+    rows = spark.range(3000).select(F.col("id").alias("record_id"), F.concat(F.lit("u"), (F.col("id") % 300).cast("string")).alias("unit"), F.when(F.col("id") % 4 > 0, (F.col("id") % 3).cast("string")).alias("label"))
     share = {r.split: r.share for r in group_splits.balance(group_splits.assign_splits(rows)).collect()}
     assert abs(share["train"] - 0.7) < 0.01 and abs(share["val"] - 0.15) < 0.01 and abs(share["test"] - 0.15) < 0.01
     assert group_splits.assign_splits(rows.filter("false")).count() == 0
+    with pytest.raises(ValueError):
+        group_splits.assign_splits(rows.withColumn("label", F.col("record_id").cast("string")))
 
 
 # --- 5
@@ -338,7 +340,9 @@ def test_leaks_equal_brute_force(spark):
 # --- 10
 
 
-def test_reading_level_held_out(spark):
+@pytest.mark.parametrize("head", [reading_level.HEAD, 4])
+def test_reading_level_held_out(spark, monkeypatch, head):
+    monkeypatch.setattr(reading_level, "HEAD", head)  # where a rank comes from does not change it
     rng = random.Random(2)
     easy, hard = ["the", "cat", "sat", "dog", "ran", "a"], ["jurisdictional", "notwithstanding", "extraterritoriality", "the", "of"]
     docs = []

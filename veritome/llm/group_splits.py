@@ -16,7 +16,8 @@ __all__ = ["assign_splits", "balance", "case_groups", "related_groups"]
 #: 1 / UNIT_SHARE of them; all smaller ones are hashed into BUNDLES bundles that move whole.
 UNIT_SHARE = 1 / 2048
 BUNDLES = 1024
-LABEL_CELLS = 8
+#: Different labels at most; with more the balance of labels would mean nothing.
+MAX_LABELS = 64
 TRAIN_FOLDS = 5
 CHAINS = 12
 STEPS = 12_000
@@ -46,7 +47,7 @@ def case_groups(cases: DataFrame, quotes: DataFrame) -> DataFrame:
 
 
 def related_groups(cases: DataFrame, quotes: DataFrame) -> DataFrame:
-    """``record_id, unit, label_cell`` of every quote: the set of records that must stay together.
+    """``record_id, unit, label`` of every quote: the set of records that must stay together.
 
     A quote with a case belongs to the group of its case. A quote without one belongs to the
     case group that its doc_id stands under, else to its doc_id, else it stands alone.
@@ -62,8 +63,7 @@ def related_groups(cases: DataFrame, quotes: DataFrame) -> DataFrame:
         F.concat(F.lit("d:"), "doc_id"),
         F.concat(F.lit("r:"), F.col("record_id").cast("string")),
     )
-    return rows.select("record_id", unit.alias("unit"), F.pmod(F.xxhash64(F.coalesce("label", F.lit("")))
-                                                               , F.lit(LABEL_CELLS)).cast("int").alias("label_cell"))
+    return rows.select("record_id", unit.alias("unit"), "label")
 
 
 def _targets(shares: dict[str, float]) -> tuple[np.ndarray, list[tuple[str, int | None]]]:
@@ -72,7 +72,7 @@ def _targets(shares: dict[str, float]) -> tuple[np.ndarray, list[tuple[str, int
 
 
 def _cost(load: np.ndarray, target: np.ndarray, mix: np.ndarray) -> float:
-    """load: bins x (rows, label cells) as shares of all rows. The split totals weigh most."""
+    """load: bins x (rows, labels) as shares of all rows. The split totals weigh most."""
     size = load[:, 0]
     total = size[:TRAIN_FOLDS].sum() - target[:TRAIN_FOLDS].sum()
     split = total**2 + ((size[TRAIN_FOLDS:] - target[TRAIN_FOLDS:]) ** 2).sum()
@@ -120,27 +120,32 @@ def _anneal(seed: int, w: np.ndarray, start: np.ndarray, target: np.ndarray, mix
 
 
 def assign_splits(rows: DataFrame, shares: dict[str, float] | None = None, seed: int = 7) -> DataFrame:
-    """``record_id, unit, split, fold`` from ``record_id, unit, label_cell``.
+    """``record_id, unit, split, fold`` from ``record_id, unit, label``.
 
     Start: each bundle or big component goes to a bin by hash. Then CHAINS annealing chains run
     in parallel as Spark tasks over the bounded unit table (at most 2048 big components and
     1024 bundles), and the best end state wins. Bins are five train folds, val (fold 5) and
     test (fold null). A unit never straddles two bins, whatever its size; an empty table gives
-    no rows.
+    no rows. A null label is a label; more than MAX_LABELS labels are refused. Components below
+    1/2048 of the rows move in hashed bundles of about 1/1024 of them, so the shares come out as near
+    as a bundle, or as the components above that size, allow.
     """
     spark = rows.sparkSession
     target, bins = _targets(shares or {"train": 0.70, "val": 0.15, "test": 0.15})
     rows = cut(rows)
-    cells = [F.sum(F.when(F.col("label_cell") == k, 1).otherwise(0)).alias(f"l{k}") for k in range(LABEL_CELLS)]
+    labels = [r["label"] for r in rows.select("label").distinct().orderBy("label").limit(MAX_LABELS + 1).collect()]
+    if len(labels) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
+    cells = [F.count_if(F.col("label").eqNullSafe(x)).alias(f"l{k}") for k, x in enumerate(labels)]
     comps = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), *cells)
     whole = rows.agg(F.count(F.lit(1)).alias("all"))
     comps = comps.join(F.broadcast(whole), F.lit(True))
     big = F.col("n") >= F.col("all") * F.lit(UNIT_SHARE)
     comps = cut(comps.withColumn("mover", F.when(big, F.concat(F.lit("u:"), F.col("unit"))).otherwise(F.concat(F.lit("b:"), F.pmod(F.xxhash64("unit"), F.lit(BUNDLES)).cast("string")))))
-    movers = comps.groupBy("mover").agg(F.sum("n").alias("n"), *[F.sum(f"l{k}").alias(f"l{k}") for k in range(LABEL_CELLS)]).orderBy("mover").toPandas()
+    movers = comps.groupBy("mover").agg(F.sum("n").alias("n"), *[F.sum(f"l{k}").alias(f"l{k}") for k in range(len(labels))]).orderBy("mover").toPandas()
     if movers.empty:
         return rows.select("record_id", "unit", F.lit(None).cast("string").alias("split"), F.lit(None).cast("int").alias("fold"))
-    w = movers[["n", *[f"l{k}" for k in range(LABEL_CELLS)]]].to_numpy(float)
+    w = movers[["n", *[f"l{k}" for k in range(len(labels))]]].to_numpy(float)
     w /= w[:, 0].sum()
     mix = w[:, 1:].sum(axis=0)
     edges = np.cumsum(target)

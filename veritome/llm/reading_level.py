@@ -1,7 +1,6 @@
 """Reading level of documents from vocabulary coverage and sentence complexity.
 
-The words of all English documents are counted into cells of a fixed-size table and the cells
-ranked by frequency. For a document the smallest frequency-ranked vocabulary that covers a given
+The words of all English documents are counted and ranked by frequency. For a document the smallest frequency-ranked vocabulary that covers a given
 share of its words ends at that share's quantile of its word ranks. These coverage ranks and
 simple measures of words and sentences are calibrated on human grades by linear discriminants
 whose sums come from one SQL aggregation over all grades.
@@ -20,8 +19,8 @@ from ..runtime import stored
 
 __all__ = ["FEATURES", "fit", "is_english", "profile", "score"]
 
-#: Cells of the frequency table; words that share a cell share its count. It bounds what is broadcast.
-CELLS = 1 << 18
+#: Words whose ranks are broadcast at most; those of rarer words meet the documents in a join.
+HEAD = 1 << 18
 SHARES = (0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.9)
 MIN_WORDS = 40
 FEATURES = (*[f"cover_{round(100 * s)}" for s in SHARES], "mean_len", "share_10", "share_13", "share_4", "stops", "commas")
@@ -46,11 +45,11 @@ def profile(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     n = F.size("w")
     share = lambda cond: F.size(F.filter(F.col("len"), cond)) / n
     marks = lambda p: F.length(F.regexp_replace("text", p, "")) / n
-    base = words.select("doc_id", "text", "w", F.transform("w", F.length).alias("len"), F.transform("w", lambda x: F.pmod(F.xxhash64(x), F.lit(CELLS)).cast("int")).alias("cell"))
+    base = words.select("doc_id", "text", "w", F.transform("w", F.length).alias("len"), F.transform("w", lambda x: F.xxhash64(x)).alias("code"))
     base = base.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
-        "cell",
+        "code",
         (F.aggregate("len", F.lit(0), lambda a, x: a + x) / n).alias("mean_len"),
         share(lambda x: x >= 10).alias("share_10"),
         share(lambda x: x >= 13).alias("share_13"),
@@ -59,15 +58,33 @@ def profile(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
         marks(r"[^,]+").alias("commas"),
     )
     base = stored(base, "reading")
-    counts = base.select(F.explode("cell").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    ranks = counts.select("c", F.rank().over(W.orderBy(F.desc("n"))).alias("rank"))  # CELLS rows at most
-    each = base.select("row", F.explode("cell").alias("c")).join(F.broadcast(ranks), "c")
+    ranks, beyond = _ranks(base)
+    tokens = base.select("row", F.explode("code").alias("c"))
+    each = tokens.join(F.broadcast(ranks), "c", "left")
+    if beyond is not None:
+        each = each.filter("rank IS NOT NULL").select("row", "rank").union(each.filter("rank IS NULL").select("row", "c").join(beyond, "c").select("row", "rank"))
     sorted_ranks = each.groupBy("row").agg(F.sort_array(F.collect_list("rank")).alias("r"))
     cover = [F.log(F.element_at("r", F.greatest(F.lit(1), F.ceil(F.lit(s) * F.size("r"))).cast("int")).cast("double")).alias(f"cover_{round(100 * s)}") for s in SHARES]
-    full = base.drop("cell").join(sorted_ranks.select("row", *cover), "row")
+    full = base.drop("code").join(sorted_ranks.select("row", *cover), "row")
     return stored(full.select("doc_id", *FEATURES), "levels")
 
 
+def _ranks(base: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``c, rank`` of the at most HEAD most frequent words by their 64-bit code, and of all others if there are any.
+
+    A word's rank is one more than the number of words that are more frequent, so it follows from its
+    count alone: the running number of words by count has one row for each count that occurs.
+    """
+    counts = stored(base.select(F.explode("code").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")), "words")
+    by_count = counts.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
+    upto = F.sum("k").over(W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = counts.join(by_count.select("n", upto.alias("upto"), (upto - F.col("k") + 1).alias("rank")), "n")
+    head = ranked.filter(F.col("upto") <= HEAD).select("c", "rank")
+    if counts.count() <= HEAD:
+        return head, None
+    return head, ranked.filter(F.col("upto") > HEAD).select("c", "rank")
+
+
 def fit(levels: DataFrame, labels: DataFrame, doc_id: str = "doc_id", band: str = "band") -> dict[int, tuple[list[float], float]] | None:
     """Linear discriminants by band from the grades: weights of FEATURES and an offset.
 

@@ -34,7 +34,9 @@ __all__ = ["cross_split_pairs", "distinct_texts", "near_text_links", "overlap_re
 #: Cells of the table of term frequencies. It is counted over every text; terms that share a cell
 #: share a frequency, which changes how selective a term is thought to be, never the result.
 CELLS = 1 << 20
-_BLOCK = 1 << 10
+_BLOCK = 1 << 12
+#: Tasks whose counts are added up in one group of the first round.
+_ROUND = 512
 #: Words in a term.
 SHINGLE = 3
 #: Terms in a list beyond those that a pair could lose: with more of them fewer false pairs get through.
@@ -73,7 +75,8 @@ def _flat(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 def term_frequencies(texts: DataFrame) -> np.ndarray:
     """How many terms of the corpus fall into each of CELLS cells: a table of fixed size.
 
-    Each task counts into one array and hands it on in blocks, which are then added up.
+    Each task counts into one array and hands it on in blocks, which are added up in two rounds, so
+    that no group grows with the number of tasks but by its square root.
     """
 
     def count(batches):
@@ -91,8 +94,9 @@ def term_frequencies(texts: DataFrame) -> np.ndarray:
         total = sum(np.frombuffer(x, dtype=np.int64) for x in table.column("counts").to_pylist())
         return pa.table({"block": table.column("block")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    parts = texts.select("words").mapInArrow(count, "block int, counts binary")
-    got = parts.groupBy("block").applyInArrow(add, "block int, counts binary").collect()  # CELLS numbers at most
+    parts = texts.select("words").mapInArrow(count, "block int, counts binary").withColumn("part", F.floor(F.spark_partition_id() / _ROUND))
+    rows = "block int, counts binary"
+    got = parts.groupBy("part", "block").applyInArrow(add, rows).groupBy("block").applyInArrow(add, rows).collect()  # CELLS numbers at most
     table = np.ones(CELLS)
     for r in got:
         table[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.maximum(1, np.frombuffer(r["counts"], dtype=np.int64))
@@ -139,12 +143,11 @@ def _terms(h: np.ndarray, n: np.ndarray, freq: np.ndarray | None):
     return term, sq, owner, start, count
 
 
-def _postings(texts: DataFrame, freq: np.ndarray) -> DataFrame:
+def _postings(texts: DataFrame, box) -> DataFrame:
     """``term, tid, n, need, sq``: the inverted lists of texts long enough to allow a change.
 
     need is the weight that a partner must share within the lists at least.
     """
-    box = texts.sparkSession.sparkContext.broadcast(freq)  # CELLS doubles, eight megabytes
 
     def lists(batches):
         table = box.value
@@ -176,10 +179,10 @@ def _postings(texts: DataFrame, freq: np.ndarray) -> DataFrame:
     return texts.select("tid", "words").mapInArrow(lists, "term long, tid long, n int, need float, sq float")
 
 
-def _candidates(texts: DataFrame, freq: np.ndarray) -> DataFrame:
+def _candidates(texts: DataFrame, box) -> DataFrame:
     """``ta, tb``: distinct texts, one of train and one of an evaluation split, that pass the bounds."""
-    a = _postings(texts.filter("in_eval"), freq).toDF("term", "ta", "na", "need_a", "sq")
-    b = _postings(texts.filter("in_train"), freq).drop("sq").toDF("term", "tb", "nb", "need_b")
+    a = _postings(texts.filter("in_eval"), box).toDF("term", "ta", "na", "need_a", "sq")
+    b = _postings(texts.filter("in_train"), box).drop("sq").toDF("term", "tb", "nb", "need_b")
     close = F.abs(F.col("na") - F.col("nb")) <= F.floor(F.greatest("na", "nb") / TOUCH)
     met = a.join(b, "term").filter((F.col("ta") != F.col("tb")) & close)
     pairs = met.groupBy("ta", "tb").agg(F.sum("sq").alias("shared"), F.max(F.greatest("need_a", "need_b")).alias("need"))
@@ -257,9 +260,8 @@ def near_text_links(texts: DataFrame) -> DataFrame:
     ``texts`` is the frame of ``distinct_texts``. At most one word in ten of the longer text may
     be changed, added or dropped. A text without words matches nothing.
     """
-    freq = term_frequencies(texts)
-    box = texts.sparkSession.sparkContext.broadcast(freq)
-    pairs = _candidates(texts, freq)
+    box = texts.sparkSession.sparkContext.broadcast(term_frequencies(texts))  # CELLS doubles, eight megabytes
+    pairs = _candidates(texts, box)
     left = texts.filter("in_eval").select(F.col("tid").alias("ta"), F.col("words").alias("wa"))
     right = texts.filter("in_train").select(F.col("tid").alias("tb"), F.col("words").alias("wb"))
     full = pairs.join(left, "ta").join(right, "tb").select("ta", "tb", "wa", "wb")
