@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import group_quantiles, places, quantile_points, running_sums, top_per_group, with_group
+
 __all__ = [
     "bucketize", "case_features", "case_frame", "case_probability_features", "case_summary", "distribution", "fallback_means",
     "fingerprint_merge", "gini", "nearest_rank", "quantile_label", "run_clusters", "state_crosstab", "variance_ratio",
@@ -28,15 +30,15 @@ def case_features(df: DataFrame, key: str, number: str, start: str, length: str,
 
     rule: complete; docket_fraction (number up to max(1, floor(largest * value))); token_fraction
     (end up to floor(last end * value)); token_budget (end up to value). Missing positions are
-    outside. The largest position comes from a window, so nothing is joined back. Cases of which
-    nothing is inside do not appear.
+    outside. Cases of which nothing is inside do not appear.
     """
-    w = W.partitionBy(key)
     end = F.col(start) + F.col(length)
+    if rule in ("docket_fraction", "token_fraction"):
+        df = with_group(df, [key], {"_last": F.max(number if rule == "docket_fraction" else end)})
     inside = {
         "complete": F.lit(True),
-        "docket_fraction": F.col(number) <= F.greatest(F.lit(1), F.floor(F.max(number).over(w) * value)),
-        "token_fraction": end <= F.floor(F.max(end).over(w) * value),
+        "docket_fraction": F.col(number) <= F.greatest(F.lit(1), F.floor(F.col("_last") * value)) if rule == "docket_fraction" else None,
+        "token_fraction": end <= F.floor(F.col("_last") * value) if rule == "token_fraction" else None,
         "token_budget": end <= value,
     }[rule]
     kept = df.withColumn("_in", F.coalesce(inside, F.lit(False))).filter("_in")
@@ -55,47 +57,48 @@ def quantile_label(df: DataFrame, value: str, shares: Sequence[float] = (0.33, 0
 
     The quantiles are one row that is joined to the table.
     """
-    edges = df.agg(F.percentile(value, F.array(*[F.lit(s) for s in shares])).alias("_e"))
+    edges = quantile_points(df, value, shares).select(F.array(*[f"q_{i}" for i in range(len(shares))]).alias("_e"))
     named = df.join(F.broadcast(edges), F.lit(True))
     return named.withColumn(label, bucketize(F.col(value), [F.get("_e", F.lit(i)) for i in range(len(shares))])).drop("_e")
 
 
 def case_summary(df: DataFrame, key: str, matched: Column, position: str, outcome: str) -> DataFrame:
     """Rows, matched and unmatched rows, median position of the matched, whether outcomes conflict (A3)."""
-    return df.groupBy(key).agg(
+    per = df.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(matched).alias("n_matched"),
         F.count_if(~F.coalesce(matched, F.lit(False))).alias("n_unmatched"),
-        F.median(F.when(matched, F.col(position))).alias("median_position"),
-        (F.count_distinct(outcome) > 1).alias("conflict"),
+        (F.min(outcome) < F.max(outcome)).alias("_two"),
     )
+    middle = group_quantiles(df.filter(matched).select(key, F.col(position).alias("_at")), [key], "_at", [0.5]).toDF("_key", "median_position")
+    out = per.join(middle, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return out.select(key, "n_rows", "n_matched", "n_unmatched", "median_position", F.coalesce("_two", F.lit(False)).alias("conflict"))
 
 
 def case_probability_features(df: DataFrame, key: str, prob: str, order: str, tie: str) -> DataFrame:
     """Shares above thresholds, moments, top-3 mean and positional means of a case's probabilities (A4)."""
-    w = W.partitionBy(key)
-    n = F.count(F.lit(1)).over(w)
-    rn = F.row_number().over(w.orderBy(order, tie))
-    top = F.row_number().over(w.orderBy(F.desc(prob), order, tie))
-    rows = df.withColumns({"_pos": F.when(n > 1, (rn - 1) / (n - 1)).otherwise(0.0), "_top": top})
-    p = F.col(prob)
-    return rows.groupBy(key).agg(
+    slim = df.select(key, F.col(prob).alias("_p"), F.col(order).alias("_o"), F.col(tie).alias("_t"))
+    rows = with_group(places(slim, [key], ["_o", "_t"]), [key], {"_n": F.count(F.lit(1))})
+    rows = rows.withColumn("_pos", F.when(F.col("_n") > 1, (F.col("_rn") - 1) / (F.col("_n") - 1)).otherwise(0.0))
+    best = top_per_group(slim, [key], [F.desc("_p"), F.col("_o"), F.col("_t")], 3).groupBy(F.col(key).alias("_key")).agg(F.avg("_p").alias("top3_mean"))
+    p = F.col("_p")
+    per = rows.groupBy(key).agg(
         F.avg((p >= 0.9).cast("double")).alias("share_90"),
         F.avg((p >= 0.8).cast("double")).alias("share_80"),
         F.avg(p).alias("mean_prob"),
         F.stddev_pop(p).alias("std_prob"),
         F.max(p).alias("max_prob"),
-        F.avg(F.when(F.col("_top") <= 3, p)).alias("top3_mean"),
         F.avg(F.when(F.col("_pos") <= 0.3, p)).alias("early_mean"),
         F.avg(F.when(F.col("_pos") >= 0.7, p)).alias("late_mean"),
     )
+    return per.join(best, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def run_clusters(df: DataFrame, key: str, order: Sequence[str], flag: Column) -> DataFrame:
     """Maximal runs of flagged rows in order: one row per run with its first place and length."""
-    w = W.partitionBy(key).orderBy(*order)
-    rows = df.withColumn("_rn", F.row_number().over(w)).filter(flag)
-    rows = rows.withColumn("_island", F.col("_rn") - F.row_number().over(W.partitionBy(key).orderBy("_rn")))
+    rows = df.select(key, *order, flag.alias("_flag"))
+    rows = running_sums(rows, [key], order, {"_rn": F.lit(1).cast("bigint"), "_fn": F.col("_flag").cast("bigint")}).filter("_flag")
+    rows = rows.withColumn("_island", F.col("_rn") - F.col("_fn"))
     return rows.groupBy(key, "_island").agg(F.min("_rn").alias("first_at"), F.count(F.lit(1)).alias("run_length")).drop("_island")
 
 
@@ -124,21 +127,20 @@ def fallback_means(df: DataFrame, fine: str, coarse: str, value: str, least: int
 
 def distribution(df: DataFrame, value: str) -> DataFrame:
     """Mean, median, population deviation, skewness and kurtosis (biased), range of a column."""
-    return df.agg(
+    whole = df.agg(
         F.count(value).alias("n"),
         F.avg(value).alias("mean"),
-        F.median(value).alias("median"),
         F.stddev_pop(value).alias("std"),
         F.skewness(value).alias("skew"),
         F.kurtosis(value).alias("kurt"),
         (F.max(value) - F.min(value)).alias("range"),
     )
+    return whole.join(quantile_points(df, value, [0.5]).select(F.col("q_0").alias("median")), F.lit(True))  # one row each
 
 
 def nearest_rank(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
     """Percentiles that are values of the column."""
-    parts = [F.expr(f"percentile_disc({s}) WITHIN GROUP (ORDER BY `{value}`)").alias(f"p{round(100 * s)}") for s in shares]
-    return df.agg(*parts)
+    return quantile_points(df, value, shares).select(*[F.col(f"disc_{i}").alias(f"p{round(100 * s)}") for i, s in enumerate(shares)])
 
 
 def gini(df: DataFrame, key: str) -> DataFrame:
@@ -174,8 +176,7 @@ def variance_ratio(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def fingerprint_merge(dest: DataFrame, source: DataFrame, key: str, order: str, cols: Sequence[str]) -> DataFrame:
     """Fill nulls of ``cols`` from the source row with the same key, the k-th with the k-th (J10); nothing is overwritten."""
-    k = F.row_number().over(W.partitionBy(key).orderBy(order))
-    a = dest.withColumn("_k", k)
-    b = source.withColumn("_k", k).select(key, "_k", *[F.col(c).alias(f"_s_{c}") for c in cols])
+    a = places(dest, [key], [order], "_k")
+    b = places(source.select(key, order, *[c for c in cols if c not in (key, order)]), [key], [order], "_k").select(key, "_k", *[F.col(c).alias(f"_s_{c}") for c in cols])
     out = a.join(b, [key, "_k"], "left")
     return out.withColumns({c: F.coalesce(c, f"_s_{c}") for c in cols}).drop("_k", *[f"_s_{c}" for c in cols])

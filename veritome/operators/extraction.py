@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import match_starts, tokens, urls, words
+from .ordered import running_sums
 
 __all__ = [
     "alias_speaker", "amount_value", "amounts", "first_candidates", "hamming", "locate", "merge_adjacent", "near_duplicates", "offsets",
@@ -127,8 +128,10 @@ def first_candidates(df: DataFrame, key: str, raw: str, context: str, order: Seq
 
 def offsets(docs: DataFrame, case: str, order: str, text: str) -> DataFrame:
     """``char_start, token_start`` of each document in the joined text of its case."""
-    w = W.partitionBy(case).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return docs.withColumn("char_start", F.coalesce(F.sum(F.length(text) + 1).over(w), F.lit(0))).withColumn("token_start", F.coalesce(F.sum(F.size(tokens(F.col(text)))).over(w), F.lit(0)))
+    own = {"char_start": (F.length(text) + 1).cast("bigint"), "token_start": F.size(tokens(F.col(text))).cast("bigint")}
+    sized = docs.withColumns({f"_n_{n}": F.coalesce(c, F.lit(0)) for n, c in own.items()})
+    rows = running_sums(sized, [case], [order], {n: F.col(f"_n_{n}") for n in own})
+    return rows.withColumns({n: F.col(n) - F.col(f"_n_{n}") for n in own}).drop(*[f"_n_{n}" for n in own])
 
 
 def locate(text: Column, quote: Column) -> Column:

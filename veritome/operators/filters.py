@@ -6,9 +6,10 @@ import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import with_group
+
 __all__ = [
     "deflate", "dominant_key_rows", "drop_outliers", "drop_values", "filter_report", "governed_columns", "label_margin", "padded_select",
     "prefix_flags", "rates", "sharpen", "training_columns", "transforms", "valid_groups", "with_metadata",
@@ -107,10 +108,10 @@ def prefix_flags(df: DataFrame, key: str, number: str, start: str, length: str,
 
     The share admits numbers up to max(1, floor(share * largest)); what is missing is outside.
     """
-    last = F.max(number).over(W.partitionBy(key))
-    within = F.coalesce(F.col(number) <= F.greatest(F.lit(1), F.floor(last * share)), F.lit(False))
+    df = with_group(df, [key], {"_last": F.max(number)})
+    within = F.coalesce(F.col(number) <= F.greatest(F.lit(1), F.floor(F.col("_last") * share)), F.lit(False))
     fits = F.coalesce(F.col(start) + F.col(length) <= budget, F.lit(False))
-    return df.withColumns({"in_prefix": within, "in_budget": fits})
+    return df.withColumns({"in_prefix": within, "in_budget": fits}).drop("_last")
 
 
 def transforms(c: Column, cap: float | None = None) -> dict[str, Column]:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import places, quantile_points, with_group
+
 __all__ = [
     "class_weights", "early_prefix", "embargo", "first_per_key", "fold_overlap", "fold_report", "midpoint_edges", "purge", "quantile_blocks",
     "rolling_folds", "stratified_folds", "support_bias_weights", "support_weights", "tempered_weights", "within_group_z",
@@ -20,32 +22,13 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return df.withColumn("_rn", rn).filter("_rn = 1").drop("_rn")
 
 
-def _global_rank(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """``_rn`` (from 1) and ``_n`` over a total order, without one task that sorts everything.
-
-    A range partitioning gives every partition a slice of the order; the sizes of the slices (one
-    row per partition) are summed up and added to the rank within the slice.
-    """
-    spark = df.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sliced = df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id())
-    from ..runtime import stored
-
-    sliced = stored(sliced, "slices")
-    sizes = sliced.groupBy("_p").agg(F.count(F.lit(1)).alias("_k"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_k").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    total = sizes.agg(F.sum("_k").alias("_n"))
-    local = F.row_number().over(W.partitionBy("_p").orderBy(*order))
-    out = sliced.withColumn("_local", local).join(F.broadcast(before.select("_p", "_before")), "_p").join(F.broadcast(total), F.lit(True))
-    return out.withColumn("_rn", F.col("_local") + F.col("_before")).drop("_p", "_local", "_before")
-
-
 def quantile_blocks(df: DataFrame, order: Sequence[str], k: int, name: str = "block") -> DataFrame:
     """Block 0..k-1 by equal shares of the ranks in a total order.
 
     The edge of a block is the linear quantile of the ranks 1..n; the order has to be total.
     """
-    ranked = _global_rank(df, order)
+    ranked = places(df, [], order)
+    ranked = ranked.join(F.broadcast(ranked.agg(F.count(F.lit(1)).alias("_n"))), F.lit(True))
     block = F.when(F.col("_n") <= 1, 0).otherwise(F.greatest(F.lit(0), F.ceil((F.col("_rn") - 1) * k / (F.col("_n") - 1)) - 1))
     return ranked.withColumn(name, block.cast("int")).drop("_rn", "_n")
 
@@ -55,18 +38,7 @@ def midpoint_edges(df: DataFrame, value: str, shares: Sequence[float] = (1 / 3,
 
     The counts of distinct values are enough: a cumulative count finds the values at a rank.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    w = W.orderBy("v")
-    run = counts.withColumn("hi", F.sum("c").over(w)).withColumn("lo", F.col("hi") - F.col("c"))
-    n = counts.agg(F.sum("c").alias("n"))
-    at = run.join(F.broadcast(n), F.lit(True))
-    out = []
-    for i, s in enumerate(shares):
-        h = (F.col("n") - 1) * F.lit(s)
-        low = F.max(F.when((F.col("lo") <= F.floor(h)) & (F.col("hi") > F.floor(h)), F.col("v")))
-        high = F.max(F.when((F.col("lo") <= F.ceil(h)) & (F.col("hi") > F.ceil(h)), F.col("v")))
-        out.append(((low + high) / 2).alias(f"edge_{i + 1}"))
-    return at.agg(*out)
+    return quantile_points(df, value, shares).select(*[F.col(f"mid_{i}").alias(f"edge_{i + 1}") for i in range(len(shares))])
 
 
 def rolling_folds(cases: DataFrame, key: str, year: str, k: int = 3) -> DataFrame:
@@ -86,8 +58,8 @@ def rolling_folds(cases: DataFrame, key: str, year: str, k: int = 3) -> DataFram
 
 def stratified_folds(cases: DataFrame, key: str, strata: Sequence[str], k: int = 5) -> DataFrame:
     """``fold`` by the place within a stratum in hash order, modulo k (V5)."""
-    rn = F.row_number().over(W.partitionBy(*strata).orderBy(F.md5(F.col(key).cast("string")), key))
-    return cases.withColumn("fold", ((rn - 1) % k).cast("int"))
+    rows = places(cases.withColumn("_h", F.md5(F.col(key).cast("string"))), strata, ["_h", key])
+    return rows.withColumn("fold", ((F.col("_rn") - 1) % k).cast("int")).drop("_h", "_rn")
 
 
 def purge(train: DataFrame, held_out: DataFrame, key: str) -> DataFrame:
@@ -154,14 +126,12 @@ def fold_overlap(df: DataFrame, fold: str, value: str) -> DataFrame:
 
 def early_prefix(df: DataFrame, key: str, at: str, share: float) -> DataFrame:
     """Rows within the first share of the span of their case, at least one hundredth of it."""
-    w = W.partitionBy(key)
-    lo, hi = F.min(at).over(w), F.max(at).over(w)
-    rows = df.withColumn("_limit", lo + F.greatest((hi - lo) * share, (hi - lo) * 0.01))
-    return rows.filter(F.col(at) <= F.col("_limit")).drop("_limit")
+    span = (F.col("_hi") - F.col("_lo"))
+    rows = with_group(df, [key], {"_lo": F.min(at), "_hi": F.max(at)})
+    return rows.filter(F.col(at) <= F.col("_lo") + F.greatest(span * share, span * 0.01)).drop("_lo", "_hi")
 
 
 def within_group_z(df: DataFrame, key: str, value: str, name: str = "z") -> DataFrame:
     """Value less the mean of its group by the sample deviation, where a deviation of 0 or none counts as 1."""
-    w = W.partitionBy(key)
-    sd = F.stddev_samp(value).over(w)
-    return df.withColumn(name, (F.col(value) - F.avg(value).over(w)) / F.when(sd > 0, sd).otherwise(1.0))
+    rows = with_group(df, [key], {"_sd": F.stddev_samp(value), "_mean": F.avg(value)})
+    return rows.withColumn(name, (F.col(value) - F.col("_mean")) / F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)).drop("_sd", "_mean")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import running_sums
+
 __all__ = [
     "auc", "average_ranks", "benjamini_hochberg", "brier", "cliffs_delta", "confusion_metrics", "ece", "kruskal_wallis", "mcc_grid",
     "mutual_information", "psi", "quadratic_kappa", "regression_report", "screen", "spearman",
@@ -18,16 +20,15 @@ __all__ = [
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Per distinct value (and group): rows ``c`` and the average rank ``r`` of its ties."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(W.partitionBy(*by).orderBy("v"))
-    return counts.withColumn("r", upto - (F.col("c") - 1) / 2)
+    return running_sums(counts, by, ["v"], {"upto": F.col("c")}).withColumn("r", F.col("upto") - (F.col("c") - 1) / 2).drop("upto")
 
 
 def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve by rank sums, with average ranks of ties (V7); 0.5 for a single class."""
     per = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, F.col(score).alias("v"))
     per = per.agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col(label) == 1).alias("p"))
-    r = F.sum("c").over(W.partitionBy(*by).orderBy("v")) - (F.col("c") - 1) / 2
-    agg = per.withColumn("r", r).groupBy(*by).agg(F.sum(F.col("r") * F.col("p")).alias("rs"), F.sum("p").alias("n1"), F.sum(F.col("c") - F.col("p")).alias("n0"))
+    per = running_sums(per, by, ["v"], {"upto": F.col("c")}).withColumn("r", F.col("upto") - (F.col("c") - 1) / 2)
+    agg = per.groupBy(*by).agg(F.sum(F.col("r") * F.col("p")).alias("rs"), F.sum("p").alias("n1"), F.sum(F.col("c") - F.col("p")).alias("n0"))
     value = F.when((F.col("n1") > 0) & (F.col("n0") > 0), (F.col("rs") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * F.col("n0"))).otherwise(0.5)
     return agg.select(*by, F.col("n1").alias("n_pos"), F.col("n0").alias("n_neg"), value.alias("auc"))
 
@@ -137,9 +138,8 @@ def mutual_information(df: DataFrame, x: str, y: str) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Correlation of average ranks (V12). Ranks come from counts of distinct values."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    wx, wy = W.orderBy("x"), W.orderBy("y")
-    a = rows.groupBy("x").agg(F.sum("n").alias("c")).select("x", (F.sum("c").over(wx) - (F.col("c") - 1) / 2).alias("rx"))
-    b = rows.groupBy("y").agg(F.sum("n").alias("c")).select("y", (F.sum("c").over(wy) - (F.col("c") - 1) / 2).alias("ry"))
+    rank = lambda c: running_sums(rows.groupBy(c).agg(F.sum("n").alias("c")), [], [c], {"upto": F.col("c")}).select(c, (F.col("upto") - (F.col("c") - 1) / 2).alias(f"r{c}"))
+    a, b = rank("x"), rank("y")
     s = rows.join(a, "x").join(b, "y")
     n, sx, sy = F.sum("n"), F.sum(F.col("n") * F.col("rx")), F.sum(F.col("n") * F.col("ry"))
     cov = F.sum(F.col("n") * F.col("rx") * F.col("ry")) - sx * sy / n
@@ -148,13 +148,13 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def screen(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Rows, null share, zero share and distinct values of every feature, in one pass over the data."""
+    """Rows, null share, zero share and about how many distinct values every feature has, in one pass over the data."""
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, f in enumerate(features):
         aggs += [F.count_if(F.col(f).isNull()).alias(f"m{i}"), F.count_if(F.col(f) == 0).alias(f"z{i}"), F.approx_count_distinct(f).alias(f"d{i}")]
     wide = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"m{i}").alias("m"), F.col(f"z{i}").alias("z")) for i, f in enumerate(features)])
-    return wide.select("n", F.explode(rows).alias("r")).select("r.feature", "n", (F.col("r.m") / F.col("n")).alias("null_share"), (F.col("r.z") / F.col("n")).alias("zero_share"))
+    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"m{i}").alias("m"), F.col(f"z{i}").alias("z"), F.col(f"d{i}").alias("d")) for i, f in enumerate(features)])
+    return wide.select("n", F.explode(rows).alias("r")).select("r.feature", "n", (F.col("r.m") / F.col("n")).alias("null_share"), (F.col("r.z") / F.col("n")).alias("zero_share"), F.col("r.d").alias("n_distinct"))
 
 
 def chi2_sf(x: float, k: int) -> float:

@@ -2,7 +2,7 @@
 
 Everything that must outlive one job is written below the folder named by
 ``spark.checkpoint.dir``, which all executors of a cluster share. Only where that setting
-is absent (tests, notebooks) a folder of our own is used.
+is absent and the master is local (tests, notebooks) a folder of our own is used.
 """
 
 from __future__ import annotations
@@ -57,6 +57,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return known.rstrip("/")
     now = sc.getCheckpointDir()
     if now is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="veritome-"))
         now = sc.getCheckpointDir()
     return now.rstrip("/")
