@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import contracts
-from .functions import ids, lexical, text, vectors
+from .functions import features, ids, lexical, text, vectors
 from .operators import cases, extraction, filters, hotkeys, splits, stats
 from .plans import pipeline
 from .runtime import load
@@ -120,21 +120,78 @@ def q_lexicon_rates(spark: SparkSession, d: str) -> DataFrame:
     return q.select("record_id", lexical.count_in(F.col("t"), lexical.DECEPTION).alias("n_deception"), verbs.alias("n_attribution"), F.round(verbs / F.greatest(F.size("t") / 100.0, F.lit(1.0)), 6).alias("density"))
 
 
-@query("sequence_features")
+def _in(terms) -> str:
+    return "(" + ", ".join(f"'{t}'" for t in terms) + ")"
+
+
+# tokens of quote and context, of the quote, their number, and by token whether it is in no lexicon
+_TOKENS = rf"""WITH w AS (SELECT record_id, regexp_extract_all(lower(concat(coalesce(text, ''), ' [CONTEXT] ', coalesce(context, ''))), '[\p{{L}}\p{{N}}_]+') AS t,
+                          regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+') AS q FROM quotes),
+       f AS (SELECT *, greatest(len(t), 1) AS n, list_transform(t, lambda x: x NOT IN {_in(features._RISK)}) AS calm FROM w)"""
+_LEX = [(f"lex_{k}_{m}", e.format(_in(v))) for k, v in features.LEXICONS.items() for m, e in (
+    ("count", "CAST(len(list_filter(t, lambda x: x IN {})) AS DOUBLE)"), ("norm", "round(len(list_filter(t, lambda x: x IN {})) / n, 9)"), ("present", "CAST(len(list_filter(t, lambda x: x IN {})) > 0 AS DOUBLE)"),
+    ("quote_count", "CAST(len(list_filter(q, lambda x: x IN {})) AS DOUBLE)"), ("quote_norm", "round(len(list_filter(q, lambda x: x IN {})) / greatest(len(q), 1), 9)"))]
+
+
+def _token_frame(spark: SparkSession, d: str) -> DataFrame:
+    return features.token_frame(load(spark, d, "quotes"), "text", "context", ["record_id"])
+
+
+@query("lexicon_matrix", f"{_TOKENS} SELECT record_id, {', '.join(f'{e} AS {c}' for c, e in _LEX)} FROM f")
+def q_lexicon_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return _token_frame(spark, d).select("record_id", *[F.round(e, 9).alias(c) for c, e in features.lexicon_columns().items()])
+
+
+@query(
+    "binary_features",
+    f"""{_TOKENS},
+       i AS (SELECT *, list_filter(range(len(t)), lambda i: t[i + 1] IN {_in(lexical.DECEPTION)}) AS d, list_filter(range(len(t)), lambda i: t[i + 1] IN {_in(lexical.ATTRIBUTION_VERBS)}) AS a,
+                    list_filter(range(len(t) - 1), lambda i: calm[i + 1] AND calm[i + 2]) AS nn, greatest(1, CAST(floor(0.2 * len(t)) AS BIGINT)) AS h,
+                    list_transform(t, lambda x: greatest(1, {' + '.join(f'CAST(x IN {_in(v)} AS INT)' for v in features.LEXICONS.values())})) AS c FROM f),
+       j AS (SELECT *, greatest(h, CAST(floor(0.8 * len(t)) AS BIGINT)) AS s, list_sum(list_transform(range(len(t) - 1), lambda i: c[i + 1] * c[i + 2])) AS pairs,
+                    list_min(list_filter(range(list_max(d) + 1, len(t) - 7), lambda s: len(list_filter(range(s, s + 8), lambda i: calm[i + 1])) >= 6)) AS settled FROM i)
+       SELECT record_id, round(len(a) / greatest(n / 100.0, 1), 9) AS new_attribution_verb_density,
+              round(CASE len(d) WHEN 0 THEN 0 WHEN 1 THEN 0.5 ELSE 1 - least(1, list_aggregate(list_transform(d, lambda i: i / n), 'stddev_pop')) END, 9) AS new2_deception_cluster_density,
+              CAST(len(d) AS DOUBLE) AS lex_deception_count, round(len(nn) / greatest(coalesce(pairs, 0), 1), 9) AS seq_trans_neutral_to_neutral,
+              round((len(list_filter(calm[1:h], lambda x: x)) / greatest(len(calm[1:h]), 1) + len(list_filter(calm[s + 1:], lambda x: x)) / greatest(len(calm[s + 1:]), 1)) / 2, 9) AS new3_neutral_edge_coverage,
+              round(CASE len(a) WHEN 0 THEN 0 WHEN 1 THEN 0.5 ELSE 1 - least(1, list_aggregate(list_transform(a, lambda i: i / n), 'stddev_pop')) END, 9) AS new2_attribution_verb_clustering_score,
+              round(CASE WHEN len(d) = 0 THEN 0 ELSE coalesce((settled - list_max(d)) / n, 1) END, 9) AS new5_deesc_half_life,
+              round(len(list_filter(nn, lambda i: len(list_filter(a, lambda j: abs(i - j) <= 3)) > 0)) / greatest(len(nn), 1), 9) AS new2_attr_verb_near_neutral_transition,
+              round(coalesce(len(list_filter(calm, lambda x: x)) / nullif(len(list_filter(range(len(t)), lambda i: calm[i + 1] AND (i = 0 OR NOT calm[greatest(i, 1)]))), 0), 0), 9) AS new2_neutral_run_mean,
+              round(len(list_filter(d, lambda i: i > 0 AND calm[greatest(i, 1)])) / greatest(len(t) - 1, 1), 9) AS new2_neutral_to_deception_transition_rate FROM j""",
+)
+def q_binary_features(spark: SparkSession, d: str) -> DataFrame:
+    return features.binary_features(_token_frame(spark, d)).select("record_id", *[F.round(c, 9).alias(c) for c in features.BINARY])
+
+
+@query(
+    "sequence_features",
+    f"""{_TOKENS},
+       p AS (SELECT *, list_transform(list_filter(range(len(t)), lambda i: NOT calm[i + 1]), lambda i: i / n) AS spots, list_filter(range(len(t)), lambda i: t[i + 1] IN {_in(lexical.DECEPTION)}) AS d,
+                    list_filter(range(len(t)), lambda i: t[i + 1] IN {_in(lexical.ATTRIBUTION_VERBS)}) AS a FROM f)
+       SELECT record_id, round(list_avg(spots), 9) AS seq_risk_mean_pos, round(list_aggregate(spots, 'stddev_pop'), 9) AS seq_risk_std_pos, round(spots[1], 9) AS seq_risk_first_pos, round(spots[-1], 9) AS seq_risk_last_pos,
+              {', '.join(f"len(list_filter(t, lambda x: x IN {_in(v)})) AS seq_discourse_{k}" for k, v in features.DISCOURSE.items())},
+              round(coalesce(least(30, list_min(flatten(list_transform(d, lambda i: list_transform(a, lambda j: abs(i - j)))))) / 30, 1), 9) AS new2_deception_attr_min_dist FROM p""",
+)
 def q_sequence_features(spark: SparkSession, d: str) -> DataFrame:
-    q = load(spark, d, "quotes").filter("text IS NOT NULL").select("record_id", text.words(F.col("text")).alias("t"))
-    risky = lambda t: t.isin(list(lexical.DECEPTION))
-    calm = lambda t: ~t.isin(list(lexical.DECEPTION))
-    di, ai = lexical.indices(F.col("t"), lexical.DECEPTION), lexical.indices(F.col("t"), lexical.ATTRIBUTION_VERBS)
-    return q.select(
-        "record_id",
-        F.round(lexical.cluster(di, F.size("t")), 6).alias("deception_cluster"),
-        F.round(lexical.run_mean(F.col("t"), calm), 6).alias("neutral_run_mean"),
-        F.round(lexical.edge_share(F.col("t"), calm), 6).alias("neutral_edge"),
-        F.round(lexical.transition_rate(F.col("t"), calm, risky), 6).alias("to_deception"),
-        lexical.near_count(ai, di, 5).alias("near"),
-        F.round(lexical.min_distance(ai, di), 6).alias("distance"),
-    )
+    rows = features.sequence_features(features.binary_features(_token_frame(spark, d)))
+    places = [f"seq_risk_{m}_pos" for m in ("mean", "std", "first", "last")]
+    return rows.select("record_id", *[F.round(c, 9).alias(c) for c in (*places, "new2_deception_attr_min_dist")], *[f"seq_discourse_{k}" for k in features.DISCOURSE])
+
+
+_CATS = "list_filter([" + ", ".join(f"CASE WHEN x IN {_in(v)} THEN '{k}' END" for k, v in features.LEXICONS.items()) + "], lambda y: y IS NOT NULL)"
+
+
+@query(
+    "category_transitions",
+    f"""{_TOKENS},
+       c AS (SELECT record_id, list_transform(t, lambda x: CASE WHEN len({_CATS}) = 0 THEN ['neutral'] ELSE {_CATS} END) AS c FROM f),
+       e AS (SELECT record_id, unnest(flatten(list_transform(range(len(c) - 1), lambda i: flatten(list_transform(c[i + 1], lambda p: list_transform(c[i + 2], lambda q: concat(p, '_to_', q))))))) AS pair FROM c)
+       SELECT record_id, pair, round(count(*) / sum(count(*)) OVER (PARTITION BY record_id), 9) AS share FROM e GROUP BY 1, 2""",
+)
+def q_category_transitions(spark: SparkSession, d: str) -> DataFrame:
+    rows = features.sequence_features(_token_frame(spark, d))
+    return rows.select("record_id", F.explode("transitions").alias("pair", "share")).select("record_id", "pair", F.round("share", 9).alias("share"))
 
 
 @query(
