@@ -265,6 +265,21 @@ def test_scan_repair(spark):
     assert scan_repair.findings(none).count() == 0
 
 
+def test_context_overrules_the_shape(spark):
+    rng = random.Random(4)
+    body = lambda: " ".join(rng.choice("court claim found notice that was within statute the signed every trial".split()) for _ in range(9)) + rng.choice([" the", "."])
+    page = lambda head, n: [head, *[body() for _ in range(12)], f"- {n} -"]
+    docs = [(f"d{k}", "\n".join(x for n in (1, 2, 3) for x in page(f"Acme{chr(97 + k % 20)} Holdings v. Brown        {n}", n))) for k in range(150)]
+    # a misread letter hides the shape of the header, its place and its coming back do not change
+    odd = "Gowema lnsurance v. Zadriz        "
+    docs.append(("x", "\n".join(x for n in (1, 2, 3) for x in page(f"{odd}{n}", n))))
+    table = scan_repair._seen(spark.createDataFrame(docs, "doc_id string, text string"))
+    model, changed = scan_repair.line_model(table)
+    assert {scan_repair._STATE_OF_SHAPE[scan_repair._shape(f"{odd}1")]} == {scan_repair._BODY} and changed == 3
+    got = {r.line_no for r in scan_repair.findings(table).filter("doc_id = 'x' AND kind = 'furniture'").collect()}
+    assert got == {1, 14, 15, 28, 29, 42}
+
+
 def test_hyphens_beyond_the_trusted_words(spark, monkeypatch):
     monkeypatch.setattr(scan_repair, "TRUSTED", 5)
     common = "the court found that claim was"

@@ -1,11 +1,11 @@
 """Repair of text from scanned pages.
 
-Lines are labelled by a hidden Markov model with the states body, furniture (running headers,
-footers, page numbers, stamps) and break. Its observations are layout symbols of a line: its
-shape, whether the same shape comes back within the document, and whether it stands at a page
-edge. Start labels come from the shapes; emissions and transitions are then counted over all
-documents and every document is labelled by the Viterbi path. The counts favour the start labels,
-so in effect the labels are those of the shapes.
+Lines are labelled by a hidden Markov model with the states body, title (a line of text that
+stands alone), furniture (running headers, footers, page numbers, stamps) and break. What it
+sees of a line is its shape, how often the line comes back within the document, the gaps before
+and after it, and how it begins and ends; each of these is emitted by itself, so that context,
+recurrence and gaps together can overrule the shape. The model starts from the shapes and is
+fitted to all documents in ROUNDS of Viterbi paths, each of which counts in one aggregation.
 
 Words continued on the next line of text are joined, also across page furniture. Misread words
 are found among the distinct words of the corpus: undoing one or two of the known confusions of
@@ -48,9 +48,14 @@ _SHAPES = [
     (5, re.compile(r"^(?:\d+\.\s+)?[A-Zl0-9@!|]+(?:\s+[A-Zl0-9@!|]+)*$")),
     (7, re.compile(r"^\d+\s+[a-z@!0-9]+(?:\s+[a-z@!0-9]+){0,3}$")),
 ]
-_SYMBOLS = 40
-PRIOR = 50
-_BODY, _FURN, _BREAK = 0, 1, 2
+#: Levels of what is seen of a line: shape, recurrence, gaps, ends.
+_LEVELS = (9, 3, 4, 4)
+_SYMBOLS = 9 * 3 * 4 * 4
+_BODY, _FURN, _BREAK, _TITLE = 0, 1, 2, 3
+_STATE_OF_SHAPE = np.array([_BREAK, _FURN, _FURN, _FURN, _FURN, _TITLE, _BODY, _TITLE, _BODY])
+#: Rounds of fitting; lines that each state is given beforehand, in its own shapes; share of other shapes,
+#: which a misread character can give to a line (set, not fitted: else a state takes over the lines of another).
+ROUNDS, PRIOR, STRAY = 4, 20.0, 0.0004
 _CAPITALS = re.compile(r"(?=.*[A-Z].*[A-Z])[A-Zl0-9@!'-]+")
 _FLAT = str.maketrans("0123456789lIO|", "99999999999999")
 
@@ -67,60 +72,83 @@ def _shape(s: str) -> int:
     return 6 if len(s) < 40 else 8
 
 
-def _symbols(lines: list[str]) -> list[int]:
-    """A layout symbol of every line: shape, whether the shape comes back, whether at a page edge."""
-    shapes = [_shape(s) for s in lines]
-    seen = Counter(s.translate(_FLAT).lower() for s, c in zip(lines, shapes) if 1 <= c <= 5)
-    full = [k for k, c in enumerate(shapes) if c]
-    edge = [0] * len(lines)
-    for at, k in enumerate(full):
-        near = [full[at + d] for d in (-1, 1) if 0 <= at + d < len(full)]
-        edge[k] = int(len(near) < 2 or any(1 <= shapes[j] <= 4 for j in near))
-    return [4 * c + 2 * int(1 <= c <= 5 and seen[s.translate(_FLAT).lower()] > 1) + e for s, c, e in zip(lines, shapes, edge)]
-
-
-def _first_guess(symbols: list[int]) -> list[int]:
-    return [_BREAK if x < 4 else _FURN if x < 20 else _BODY for x in symbols]
+def _symbols(lines: list[str]) -> np.ndarray:
+    """What is seen of every line, as one number; 0 for a blank one."""
+    flat = [x.translate(_FLAT).lower() for x in lines]
+    seen = Counter(flat)
+    out = np.zeros(len(lines), dtype=np.uint16)
+    for k, x in enumerate(lines):
+        if x:
+            gaps = 2 * (k == 0 or not lines[k - 1]) + (k + 1 == len(lines) or not lines[k + 1])
+            ends = 2 * x[0].islower() + (x[-1] in '.?!"”')
+            out[k] = ((_shape(x) * 3 + min(2, seen[flat[k]] - 1)) * 4 + gaps) * 4 + ends
+    return out
 
 
 def _lines(text: str) -> list[str]:
     return [x.strip() for x in text.split("\n")]
 
 
-class _Model:
-    """Log probabilities of the hidden Markov model.
+def _first_guess(symbols: np.ndarray) -> np.ndarray:
+    return _STATE_OF_SHAPE[symbols.astype(np.int64) // 48]
 
-    Counts are smoothed by one, and by PRIOR for the state that a symbol's shape speaks for, so that
-    a small corpus is read by shape; in a large one the counts themselves keep to the shapes.
-    """
+
+class _Model:
+    """Log probabilities of the hidden Markov model, from counts of (state, symbol) and (state, state)."""
 
     def __init__(self, emit: np.ndarray, move: np.ndarray):
-        emit = emit.astype(float)
-        emit[_first_guess(list(range(_SYMBOLS))), range(_SYMBOLS)] += PRIOR
-        self.emit = np.log((emit + 1) / (emit + 1).sum(axis=1, keepdims=True)).tolist()
-        self.move = np.log((move + 1) / (move + 1).sum(axis=1, keepdims=True)).tolist()
-
-    def label(self, symbols: list[int]) -> list[int]:
-        """The Viterbi path."""
-        if not symbols:
-            return []
-        e, m = self.emit, self.move
-        v = [e[s][symbols[0]] for s in range(3)]
-        back = []
-        for x in symbols[1:]:
-            row, new = [], []
-            for s in range(3):
-                best = max(range(3), key=lambda r: v[r] + m[r][s])
-                row.append(best)
-                new.append(v[best] + m[best][s] + e[s][x])
-            back.append(row)
-            v = new
-        at = max(range(3), key=lambda s: v[s])
-        path = [at]
-        for row in reversed(back):
-            at = row[at]
-            path.append(at)
-        return path[::-1]
+        c = emit.astype(float).reshape(4, *_LEVELS)
+        self.emit = np.zeros((4, *_LEVELS))
+        for k, levels in enumerate(_LEVELS):
+            n = c.sum(axis=tuple(j + 1 for j in range(4) if j != k))
+            if k:
+                n = n + 1
+            else:
+                own = _STATE_OF_SHAPE[None, :] == np.arange(4)[:, None]
+                n = n * own + PRIOR * own / own.sum(axis=1, keepdims=True)
+            p = n / n.sum(axis=1, keepdims=True)
+            if k == 0:
+                p = (1 - STRAY) * p + STRAY / levels
+            self.emit += np.log(p).reshape(4, *[levels if j == k else 1 for j in range(4)])
+        self.emit = self.emit.reshape(4, _SYMBOLS)
+        # a blank line is a break, and nothing else is
+        self.emit[_BREAK, 48:], self.emit[:, :48] = -1e6, -1e6
+        self.emit[_BREAK, :48] = 0
+        self.move = np.log((move + 1) / (move + 1).sum(axis=1, keepdims=True))
+
+    def label(self, symbols: list[np.ndarray]) -> list[np.ndarray]:
+        """The Viterbi paths of many documents, taken step by step side by side."""
+        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(symbols)
+        size = np.array([len(x) for x in symbols], dtype=np.int64)
+        order = np.argsort(size, kind="stable")[::-1]
+        at = 0
+        while at < len(order) and size[order[at]]:
+            t = int(size[order[at]])
+            own = order[at : at + max(1, min(512, (1 << 22) // t))]
+            own = own[size[own] > 0]
+            at += len(own)
+            x = np.zeros((t, len(own)), dtype=np.int64)
+            for j, d in enumerate(own):
+                x[: size[d], j] = symbols[d]
+            v = self.emit[:, x[0]].T
+            back = np.tile(np.arange(4, dtype=np.int8), (t, len(own), 1))
+            for k in range(1, t):
+                live = int(np.searchsorted(-size[own], -k, side="left"))  # the longest stand first
+                s = v[:live, :, None] + self.move[None]
+                back[k, :live] = s.argmax(axis=1)
+                v[:live] = s.max(axis=1) + self.emit[:, x[k, :live]].T
+            now = v.argmax(axis=1)
+            path = np.zeros((t, len(own)), dtype=np.int8)
+            for k in range(t - 1, -1, -1):
+                path[k] = now
+                now = back[k, np.arange(len(own)), now]
+            for j, d in enumerate(own):
+                out[d] = path[: size[d], j]
+        return out
+
+
+def _is_text(labels) -> list[bool]:
+    return [s == _BODY or s == _TITLE for s in labels]
 
 
 def _plain(token: str) -> str:
@@ -144,7 +172,7 @@ def _join(a: str, b: str) -> tuple[str, str]:
 
 def _splits(lines: list[str], labels: list[int]):
     """(line, next line, first half with its hyphen, second half) of every continued word."""
-    body = [k for k, s in enumerate(labels) if s == _BODY and lines[k]]
+    body = [k for k, s in enumerate(labels) if s in (_BODY, _TITLE) and lines[k]]
     for k, nxt in zip(body, body[1:]):
         a = lines[k].rsplit(None, 1)[-1]
         if len(a) > 1 and a[-1] in _HYPHENS and a[-2].isalnum() or (len(a) > 1 and a[-1] in _HYPHENS and a[-2] in "!@|"):
@@ -152,44 +180,89 @@ def _splits(lines: list[str], labels: list[int]):
 
 
 def delivered_once(entries: DataFrame, doc_id: str = "doc_id", text: str = "doc_text", at: str = "retrieved_at") -> DataFrame:
-    """``doc_id, text`` of every document, from its earliest delivery with a text; stored.
+    """``doc_id, text, symbols`` of every document, from its earliest delivery with a text; stored.
 
     Null ids are left out, as are documents without any text.
     """
     rows = entries.filter(F.col(doc_id).isNotNull() & F.col(text).isNotNull())
     once = rows.groupBy(F.col(doc_id).alias("doc_id")).agg(F.min_by(text, F.struct(F.col(at), F.col(text))).alias("text"))
-    return stored(once, "scans")
-
-
-def _count(batches):
-    """Counts of (state, symbol), (state, state) and words, by the first guess of the labels."""
-    emit, move = np.zeros((3, _SYMBOLS), int), np.zeros((3, 3), int)
-    raw: Counter = Counter()
-    words: Counter = Counter()
-    for b in batches:
-        for text in b.column(0).to_pylist():
-            lines = _lines(text)
-            sym = _symbols(lines)
-            lab = _first_guess(sym)
-            np.add.at(emit, (lab, sym), 1)
-            np.add.at(move, (lab[:-1], lab[1:]), 1)
-            halves = list(_splits(lines, lab))
-            cut_end = {h[0] for h in halves}
-            cut_start = {h[1] for h in halves}
-            for _, _, a, c in halves:
-                words[_join(a, c)[0]] += 1
-            for k, s in enumerate(lab):
-                if s == _BODY:
-                    w = lines[k].split()
-                    raw.update(w[int(k in cut_start) : len(w) - int(k in cut_end)])
-    for t, n in raw.items():
-        words[_plain(t)] += n
-    out = [("e", f"{i},{j}", int(emit[i, j])) for i, j in zip(*np.nonzero(emit))]
-    out += [("m", f"{i},{j}", int(move[i, j])) for i, j in zip(*np.nonzero(move))]
-    out += [("w", w, n) for w, n in words.items() if w]
-    for k in range(0, len(out), 20000):
-        part = out[k : k + 20000]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in part]) for i in range(3)], names=["kind", "key", "n"])
+    return stored(_seen(once), "scans")
+
+
+def _seen(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, symbols``: documents with what the line model sees of their lines, two bytes a line."""
+
+    def run(batches):
+        for b in batches:
+            sym = [_symbols(_lines(t)).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sym, pa.binary())], names=["doc_id", "text", "symbols"])
+
+    if "symbols" in docs.columns:
+        return docs
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id string, text string, symbols binary")
+
+
+def _unpacked(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype=np.uint16) for x in column.to_pylist()]
+
+
+def _paths(model: _Model | None):
+    """Counts of (state, symbol) and (state, state) along the paths, or along the first guess without a model."""
+
+    def run(batches):
+        emit, move = np.zeros((4, _SYMBOLS), np.int64), np.zeros((4, 4), np.int64)
+        for b in batches:
+            symbols = _unpacked(b.column(0))
+            for sym, lab in zip(symbols, model.label(symbols) if model else map(_first_guess, symbols)):
+                np.add.at(emit, (lab, sym), 1)
+                np.add.at(move, (lab[:-1], lab[1:]), 1)
+        both = np.concatenate([emit, move], axis=1)
+        i, j = np.nonzero(both)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(both[i, j])], names=["i", "j", "n"])
+
+    return run
+
+
+def line_model(docs: DataFrame, rounds: int = ROUNDS) -> tuple[_Model, int]:
+    """The model of lines fitted to ``symbols``, and the lines that its last paths label otherwise than their shape does."""
+    model, emit = None, np.zeros((4, _SYMBOLS))
+    for _ in range(rounds + 1):
+        rows = docs.select("symbols").mapInArrow(_paths(model), "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()  # 4 x 436 rows at most
+        both = np.zeros((4, _SYMBOLS + 4))
+        for r in rows:
+            both[r["i"], r["j"]] = r["n"]
+        emit = both[:, :_SYMBOLS]
+        model = _Model(emit, both[:, _SYMBOLS:])
+    guess = _first_guess(np.arange(_SYMBOLS))
+    return model, int(emit.sum() - emit[guess, np.arange(_SYMBOLS)].sum())
+
+
+def _count(model: _Model):
+    """Counts of the words of the text."""
+
+    def run(batches):
+        raw: Counter = Counter()
+        words: Counter = Counter()
+        for b in batches:
+            for text, lab in zip(b.column(0).to_pylist(), model.label(_unpacked(b.column(1)))):
+                lines = _lines(text)
+                halves = list(_splits(lines, lab))
+                cut_end = {h[0] for h in halves}
+                cut_start = {h[1] for h in halves}
+                for _, _, a, c in halves:
+                    words[_join(a, c)[0]] += 1
+                for k, of_text in enumerate(_is_text(lab)):
+                    if of_text:
+                        w = lines[k].split()
+                        raw.update(w[int(k in cut_start) : len(w) - int(k in cut_end)])
+        for t, n in raw.items():
+            words[_plain(t)] += n
+        out = [(w, n) for w, n in words.items() if w]
+        for k in range(0, len(out), 20000):
+            part = out[k : k + 20000]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in part]) for i in range(2)], names=["word", "n"])
+
+    return run
 
 
 def _undone(w: str) -> dict[str, int]:
@@ -258,14 +331,10 @@ def _corrections(words: DataFrame) -> DataFrame:
 
 
 def _fit(docs: DataFrame):
-    """The model of lines, all words with their counts (stored), and the most frequent words."""
-    counts = stored(docs.select("text").mapInArrow(_count, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "scan-counts")
-    emit, move = np.zeros((3, _SYMBOLS)), np.zeros((3, 3))
-    for r in counts.filter("kind <> 'w'").collect():  # at most 3 x (40 + 3) rows
-        i, j = map(int, r["key"].split(","))
-        (emit if r["kind"] == "e" else move)[i, j] = r["n"]
-    words = counts.filter("kind = 'w'").select(F.col("key").alias("word"), "n")
-    return _Model(emit, move), words
+    """The model of lines, and all words with their counts (stored)."""
+    model, _ = line_model(docs)
+    counts = docs.select("text", "symbols").mapInArrow(_count(model), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return model, stored(counts, "scan-words")
 
 
 def _trusted(words: DataFrame, wrong: DataFrame) -> dict[str, int]:
@@ -301,9 +370,8 @@ def _read(model: _Model, known: dict[str, int]):
 
         for b in batches:
             out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc, text, lab in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), model.label(_unpacked(b.column(2)))):
                 lines = _lines(text)
-                lab = model.label(_symbols(lines))
                 halves = list(_splits(lines, lab))
                 cut_end = {h[0] for h in halves}
                 cut_start = {h[1] for h in halves}
@@ -312,7 +380,7 @@ def _read(model: _Model, known: dict[str, int]):
                 for k, s in enumerate(lab):
                     if s == _FURN:
                         out.append((doc, k + 1, "furniture", "", None, None, None))
-                    elif s == _BODY:
+                    elif s != _BREAK:
                         w = lines[k].split()
                         for t in w[int(k in cut_start) : len(w) - int(k in cut_end)]:
                             x = suspect(t)
@@ -328,7 +396,7 @@ def _read(model: _Model, known: dict[str, int]):
 
 def repair(docs: DataFrame):
     """What a corpus needs for its repair: line model, misread and hyphenated words (stored) and trusted words, which only save work."""
-    model, words = _fit(docs)
+    model, words = _fit(_seen(docs))
     wrong = stored(_corrections(words), "misread")
     fixes = wrong.withColumnRenamed("wrong", "word").join(_dashed(words, wrong), "word", "full")
     return model, stored(fixes, "fixes"), _trusted(words, wrong)
@@ -340,7 +408,7 @@ _ROWS = "doc_id string, line_no int, kind string, word string, dashed string, ha
 def _fixed(docs: DataFrame, fitted) -> DataFrame:
     """The rows of ``_read`` with ``right`` for misread words; a continued word has its hyphen where that form is the more frequent one."""
     model, fixes, known = fitted
-    rows = docs.mapInArrow(_read(model, known), _ROWS).join(fixes, "word", "left")
+    rows = _seen(docs).select("doc_id", "text", "symbols").mapInArrow(_read(model, known), _ROWS).join(fixes, "word", "left")
     keeps = F.coalesce(F.array_contains("forms", F.col("dashed")), F.lit(False))
     return rows.withColumns({"keeps": keeps, "word": F.when(keeps, F.col("dashed")).otherwise(F.col("word")), "right": F.when(~keeps, F.col("right"))})
 
@@ -380,26 +448,21 @@ def paragraphs(docs: DataFrame, fitted=None) -> DataFrame:
     def run(batches):
         for b in batches:
             out = []
-            for doc, text, fix in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for doc, text, fix, lab in zip(*(b.column(i).to_pylist() for i in range(3)), model.label(_unpacked(b.column(3)))):
                 table = {x["word"]: x["right"] for x in fix or [] if not x["keeps"]}
                 dashes = {x["word"] for x in fix or [] if x["keeps"]}
                 lines = _lines(text)
-                lab = model.label(_symbols(lines))
                 joins = {k: (nxt, a, c) for k, nxt, a, c in _splits(lines, lab)}
                 paras: list[list[str]] = [[]]
                 skip, edge = False, False
                 for k, s in enumerate(lab):
-                    if s != _BODY:
+                    if s in (_FURN, _BREAK):
                         edge |= s == _FURN
                         gap = bool(paras[-1]) and not (edge and paras[-1][-1][-1:] not in ".?!:\"”") and s == _BREAK
                         if gap and not skip:
                             paras.append([])
                         continue
-                    if not lines[k]:
-                        continue
                     edge = False
-                    if k in joins or skip:
-                        pass
                     w = lines[k].split()
                     if skip:
                         w = w[1:]
@@ -417,4 +480,4 @@ def paragraphs(docs: DataFrame, fitted=None) -> DataFrame:
                 out += [(doc, n + 1, " ".join(p)) for n, p in enumerate(x for x in paras if x)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.string())], names=["doc_id", "para_no", "text"])
 
-    return docs.join(fixes, "doc_id", "left").select("doc_id", "text", "f").mapInArrow(run, "doc_id string, para_no int, text string")
+    return _seen(docs).join(fixes, "doc_id", "left").select("doc_id", "text", "f", "symbols").mapInArrow(run, "doc_id string, para_no int, text string")
