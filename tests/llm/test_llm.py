@@ -327,7 +327,10 @@ def _leaky(item, doc):
     return False
 
 
-def test_leaks_equal_brute_force(spark):
+@pytest.mark.parametrize("item_words, pairs, shard", [(eval_leaks.ITEM_WORDS, eval_leaks.PAIRS, eval_leaks.SHARD_WORDS), (100, 3, 200)])
+def test_leaks_equal_brute_force(spark, monkeypatch, item_words, pairs, shard):
+    for name, v in (("ITEM_WORDS", item_words), ("PAIRS", pairs), ("SHARD_WORDS", shard)):
+        monkeypatch.setattr(eval_leaks, name, v)
     rng = random.Random(11)
     vocab = [f"v{i}" for i in range(25)]
     items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([8, 15, 20, 30])))) for i in range(12)] + [(90, None), (91, ""), (92, items_text := "a b c")]
@@ -348,6 +351,14 @@ def test_leaks_equal_brute_force(spark):
     it = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in eval_leaks.leaks(df, it).collect()}
     assert got == want and want
+    same = {}
+    for d, t in docs:
+        for i, x in items:
+            a, b = _words(x), _words(t)
+            runs = [(-n, p, q) for p in range(len(a)) for q in range(len(b)) if (p == 0 or q == 0 or a[p - 1] != b[q - 1]) and (n := next((k for k in range(len(a)) if p + k >= len(a) or q + k >= len(b) or a[p + k] != b[q + k]), len(a))) >= 5]
+            if runs and len(a) >= 15:
+                same[d, i] = (-min(runs)[0], *min(runs)[1:])
+    assert {(r.doc_id, r.item_id): (r.n_words, r.item_pos, r.doc_pos) for r in eval_leaks.matches(df, it).collect()} == same
     assert {r.doc_id for r in eval_leaks.clean_corpus(df, it).collect()} == {d for d, _ in docs} - {d for d, _ in want}
     assert eval_leaks.leaks(df.filter("false"), it).count() == eval_leaks.leaks(df, it.filter("false")).count() == 0
 

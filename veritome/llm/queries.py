@@ -122,6 +122,22 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return eval_leaks.clean_corpus(docs, items).select("doc_id")
 
 
+@query(
+    "p9_matches",
+    r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') AS w FROM documents WHERE text IS NOT NULL),
+        i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+        dg AS (SELECT doc_id, p, array_to_string(w[p + 1:p + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(len(w) - 4)) AS p FROM d)),
+        ig AS (SELECT item_id, p, array_to_string(w[p + 1:p + 5], ' ') AS g FROM (SELECT item_id, w, unnest(range(len(w) - 4)) AS p FROM i WHERE len(w) >= 15)),
+        m AS (SELECT doc_id, item_id, ig.p AS ip, dg.p AS dp, dg.p - row_number() OVER (PARTITION BY doc_id, item_id, dg.p - ig.p ORDER BY dg.p) AS island FROM dg JOIN ig USING (g)),
+        r AS (SELECT doc_id, item_id, count(*) + 4 AS n, min(ip) AS ip, min(dp) AS dp FROM m GROUP BY doc_id, item_id, dp - ip, island),
+        b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, ip, dp) AS k FROM r)
+        SELECT doc_id, item_id, n AS n_words, ip AS item_pos, dp AS doc_pos FROM b WHERE k = 1""",
+)
+def p9_matches(spark: SparkSession, d: str) -> DataFrame:
+    docs, items = load(spark, d, "documents", "eval_items")
+    return eval_leaks.matches(docs, items)
+
+
 @query("p10_found")
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = load(spark, d, "documents", "reading_labels")
