@@ -36,8 +36,15 @@ SHARD_WORDS = 1 << 20
 ITEM_WORDS = 1 << 21
 #: Pairs of an item suffix and a place that are compared at once.
 PAIRS = 1 << 20
-# letters and digits: \w without the underscore and without numbers that are no digits
-_WORD = re.compile("[^\\W_" + "".join(chr(c) for c in range(0x20000) if unicodedata.category(chr(c)) in ("No", "Nl")) + "]+")
+_WORD = re.compile(r"[^\W_]+")
+#: Numbers that are no digits, such as fractions: \w takes them in.
+_ODD = re.compile("[" + "".join(chr(c) for c in range(0x20000) if unicodedata.category(chr(c)) in ("No", "Nl")) + "]")
+
+
+def _words(t: str) -> list[str]:
+    """The runs of letters and digits of a text."""
+    return _WORD.findall(t if t.isascii() or not _ODD.search(t) else _ODD.sub(" ", t))
+
 
 
 def _bounds(codes: np.ndarray, sa: np.ndarray, pattern: np.ndarray, length: int, after: bool) -> np.ndarray:
@@ -103,7 +110,7 @@ class _Items:
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids, self.words, code = [], [], {}
         for i, t in rows:
-            w = _WORD.findall(t)
+            w = _words(t)
             if len(w) >= MIN_WORDS:
                 self.ids.append(i)
                 self.words.append(np.array([code.setdefault(x, len(code)) for x in w], dtype=np.int64))
@@ -268,7 +275,7 @@ def _search(box, search, schema: str):
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = [code.get(x, -2) for x in _WORD.findall(t)]
+                w = [code.get(x, -2) for x in _words(t)]
                 if len(w) < SEED:
                     continue
                 ids.append(i)
