@@ -83,10 +83,15 @@ def test_cross_split_pairs_equal_brute_force(spark):
         ("Engineering, Stecobetec Inc", "Stecobetec Engineering", True),
         ("Rihawadyne Transportation LLC", "Rihawadune Technologies Corp", False),
         ("José Pebujum", "jose  pebujum", True),
+        ("Al Leduflen", "Albert Leduflen", True),
+        ("Leduflen, Ed", "Ed Leduflen", True),
+        ("Chief Scientist Judith Gelahend", "Judith Gelahend", True),
+        ("VP Sales Amanda Tripagror", "Amanda Tripagror (VP Sales)", True),
     ],
 )
 def test_same_name(a, b, same):
-    assert bool(name_variants.same_name(name_variants.parse_name(a), name_variants.parse_name(b), {"harold", "gerald"})) == same
+    for x, y in ((a, b), (b, a)):
+        assert bool(name_variants.same_name(name_variants.parse_name(x), name_variants.parse_name(y), {"harold", "gerald"})) == same
 
 
 @pytest.mark.parametrize(
@@ -126,6 +131,36 @@ def test_frequent_misspellings_link_at_every_size(spark, monkeypatch):
         assert {(r.speaker_a, r.speaker_b) for r in name_variants.variant_pairs(df).collect()} == want
 
 
+def _invented(rng, n):
+    syl = ["ba", "ce", "di", "fo", "gu", "ha", "je", "ki", "lo", "mu", "na", "pe", "ri", "so", "tu", "va", "we", "zi", "tra", "plo", "sku", "bre", "gli", "dro"]
+    out = set()
+    while len(out) < n:
+        out.add("".join(rng.choice(syl) for _ in range(rng.choice([3, 4]))) + rng.choice(["n", "r", "t", "lk", "x"]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("n", [12, 120])
+def test_recall_of_names_at_growing_size(spark, n):
+    # as many given names as it takes: every surname stands beside many of them, typos are rare
+    rng = random.Random(n)
+    given, last = _invented(rng, 12 + n // 4), _invented(rng, n)
+    entity = {}
+    for k, s in enumerate(last):
+        for g in rng.sample(given, 5):
+            for form in (f"{g} {s}", f"{g.upper()} {s.upper()}", f"{s}, {g}", f"Dr. {g} {s}", f"{g} {s}, Vice President Sales"):
+                entity[form.title() if not form.isupper() else form] = (g, s)
+            if k % 4 == 0:
+                at = rng.randrange(1, len(s) - 1)
+                entity[f"{g} {s[:at]}{s[at + 1]}{s[at]}{s[at + 2:]}".title()] = (g, s)
+    df = spark.createDataFrame([(x,) for x in entity], "speaker string")
+    got = {(r.speaker_a, r.speaker_b) for r in name_variants.variant_pairs(df).collect()}
+    groups = {}
+    for x, e in entity.items():
+        groups.setdefault(e, []).append(x)
+    want = {(a, b) for g in groups.values() for a in g for b in g if a < b}
+    assert len(got & want) >= 0.97 * len(want) and len(got & want) >= 0.97 * len(got)
+
+
 # --- 4
 
 
