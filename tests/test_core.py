@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from veritome import queries
-from veritome.functions import ids, lexical, text, vectors
-from veritome.operators import cases, extraction, filters, hotkeys, models, splits, stats
+from veritome.functions import features, ids, lexical, text, vectors
+from veritome.operators import cases, extraction, filters, hotkeys, models, ordered, splits, stats, tables
 from veritome.operators.components import connected_components
 from veritome.sources import readers, writers
 from veritome.streaming import streams
@@ -138,6 +138,58 @@ def test_extraction(spark):
     mg = spark.createDataFrame([("k", 1, "one two", "c"), ("k", 2, "two three", "c"), ("k", 3, "four", "c")], "k string, o int, q string, c string")
     assert sorted(r.q for r in extraction.merge_adjacent(mg, "k", "o", "q", "c").collect()) == ["four", "one two two three"]
     assert one(spark, extraction.locate(F.col("t"), F.col("q")), t="ab CD ef", q="cd") == 3
+    assert one(spark, extraction.locate(F.col("t"), F.col("q")), t="a  b\n\nshe  said (no)\tmore", q="Said (no) more") == 11
+    assert one(spark, extraction.locate(F.col("t"), F.col("q")), t="abc", q="x y") == -1
+    assert one(spark, extraction.speaker_by_verb(F.col("t")), t='Then Carol said, "Our product is safe."') == "Carol"
+    assert one(spark, extraction.speaker_by_verb(F.col("t")), t='Carol said so before the word "safe" came up.') is None
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    hashes = [0, 1, 7, 15, -1, -8, 1 << 40, (1 << 40) | 3, 1 << 63, (1 << 63) | (1 << 20) | 5]
+    hashes = [h - (1 << 64) if h >= 1 << 63 else h for h in hashes]
+    df = spark.createDataFrame(list(enumerate(hashes)), "k int, h long")
+    want = {(a, b, d) for a, x in enumerate(hashes) for b, y in enumerate(hashes) if a < b and (d := bin((x ^ y) & ((1 << 64) - 1)).count("1")) <= 3}
+    before, extraction.simhash = extraction.simhash, lambda c: c
+    try:
+        got = {(r.key_a, r.key_b, r.distance) for r in extraction.near_duplicates(df, "k", "h").collect()}
+    finally:
+        extraction.simhash = before
+    assert got == want
+
+
+def test_ordered_results_of_a_hot_group(spark):
+    rows = [("hot", i % 50, i, i % 7) for i in range(900)] + [(f"k{i % 40}", i % 3, i, 1) for i in range(100)] + [(None, 1, 7, 2), (None, 0, 9, 3)]
+    df = spark.createDataFrame(rows, "k string, o int, t int, v int")
+    got = {(r.k, r.o, r.t): (r.n, r.s) for r in ordered.running_sums(df, ["k"], ["o", "t"], {"n": F.lit(1), "s": F.col("v")}).collect()}
+    want = {}
+    for key in {r[0] for r in rows}:
+        total = 0
+        for n, r in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: r[1:3]), 1):
+            total += r[3]
+            want[r[:3]] = (n, total)
+    assert got == want
+    q = {r.k: r.q_0 for r in ordered.group_quantiles(df, ["k"], "v", [0.5]).collect()}
+    assert q["hot"] == 3.0 and q[None] == 2.5
+    assert ordered.places(df.filter("false"), ["k"], ["o"]).count() == 0 and ordered.quantile_points(df.filter("false"), "v", [0.5]).first().q_0 is None
+    plan = ordered.with_group(df, ["k"], {"m": F.max("v")})._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_tables(spark):
+    df = spark.createDataFrame([(f"c{i % 30}", float(i), 2.0 * i + 1, float((i * 37) % 11)) for i in range(300)], "k string, a double, b double, c double")
+    r = tables.bootstrap_mean(df, "k", "a", 200).first()
+    assert r.n_cases == 30 and r.low < r.mean < r.high and 143 < r.low and r.high < 156
+    assert tables.prune_correlated(df, ["a", "b", "c"], {"a": 0.7, "b": 0.6}) == ["a", "c"]
+    v = tables.inflation(df, ["a", "c"])
+    assert all(1 <= x < 1.1 for x in v.values())
+    assert [x.a for x in tables.seeded_sample(df, "a", 5, 3).collect()] == [x.a for x in tables.seeded_sample(df.repartition(5), "a", 5, 3).collect()]
+    none = features.token_frame(spark.createDataFrame([(1, None, None), (2, "Misleading, false and may be false", "It said so")], "i int, t string, c string"), "t", "c", ["i"])
+    rows = {x.i: x for x in features.binary_features(none).collect()}
+    assert rows[1].lex_deception_count == 0 and rows[2].lex_deception_count == 3 and rows[1].new5_deesc_half_life == 0
+    maps = {x.i: x.transitions for x in features.sequence_features(none).collect()}
+    assert maps[1] == {} and abs(sum(maps[2].values()) - 1) < 1e-9
+    m = features.feature_matrix(spark.createDataFrame([(1, {"x": 2.0})], "i int, f map<string,double>"), "i", "f", ["y", "x"]).first()
+    assert m.asDict() == {"i": 1, "x": 2.0, "y": 0.0}
 
 
 def test_cases_and_splits(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -22,7 +23,10 @@ AMOUNT = (
     r"\$[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]{2})?|\$[0-9]+(?:\.[0-9]{2})?"
 )
 # Verbs of speech between a name and its quote.
-SPEECH = ("said", "stated", "noted", "announced", "testified", "wrote", "posted", "added", "told", "explained")
+SPEECH = (
+    "said", "stated", "noted", "blogged", "posted", "wrote", "quoted", "according to", "testif(?:y|ied)", "deposed", "swor(?:e|n)", "submitted",
+    "annonce(?:d|ment)", "privacy policy", "public statements?",
+)
 
 
 def quotes(docs: DataFrame, doc_id: str, text: str, least: int = 20, most: int = 600) -> DataFrame:
@@ -60,12 +64,16 @@ def hamming(a: Column, b: Column) -> Column:
 def near_duplicates(df: DataFrame, key: str, text: str, most: int = 3) -> DataFrame:
     """``key_a, key_b, distance`` of texts whose SimHash differs in few bits.
 
-    With at most three differing bits one of four 16-bit bands is equal. Texts with the same hash
+    The 64 bits are cut into most + 3 pieces, of which three are equal at least: hashes meet in the
+    bits of three pieces, about half of all bits with three differing ones. Texts with the same hash
     meet as one entry: only the smallest key of a hash takes part, and the others hang on it.
     """
     hashed = df.select(F.col(key).alias("k"), simhash(F.col(text)).alias("h"))
     heads = hashed.groupBy("h").agg(F.min("k").alias("k"))
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.struct(i.alias("i"), F.call_function("shiftrightunsigned", F.col("h"), i * 16).bitwiseAND(F.lit(0xFFFF)).alias("v"))))
+    edges = [64 * i // (most + 3) for i in range(most + 4)]
+    masks = [sum(((1 << edges[i + 1]) - (1 << edges[i])) for i in three) for three in combinations(range(most + 3), 3)]
+    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
+    band = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("h").bitwiseAND(F.lit(m).cast("bigint")).alias("v")) for i, m in enumerate(masks)]))
     bands = heads.select("k", "h", band.alias("b"))
     a = bands.select(F.col("k").alias("key_a"), F.col("h").alias("ha"), "b")
     b = bands.select(F.col("k").alias("key_b"), F.col("h").alias("hb"), "b")
@@ -85,8 +93,8 @@ def merge_adjacent(df: DataFrame, key: str, order: str, quote: str, context: str
 
 
 def speaker_by_verb(context: Column) -> Column:
-    """The capitalised word before a verb of speech and a quote (X5); null where there is none."""
-    return F.nullif(F.regexp_extract(context, rf"([A-Z][a-z]+)\s+(?:{'|'.join(SPEECH)})\b[^\"“]*[\"“]", 1), F.lit(""))
+    """The capitalised word before a verb of speech that a quotation mark follows, at most one of : , - between them (X5); null where there is none."""
+    return F.nullif(F.regexp_extract(context, rf"([A-Z][a-z]+)\s+\b(?i:{'|'.join(SPEECH)})\b\s*[:,-]?\s*[\"“][^\"”]+[\"”]", 1), F.lit(""))
 
 
 def alias_speaker(df: DataFrame, context: str, aliases: DataFrame, alias: str) -> DataFrame:
@@ -138,8 +146,10 @@ def locate(text: Column, quote: Column) -> Column:
     """Offset of a quote in a text: exact, else letter case ignored, else any white space (X30); -1 where absent."""
     exact = F.instr(text, quote)
     loose = F.instr(F.lower(text), F.lower(quote))
-    squeeze = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
-    wide = F.instr(squeeze(text), squeeze(quote))
+    # the words of the quote as they are, with any white space between them
+    word = lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    pattern = F.concat(F.lit("(?i)"), F.array_join(F.transform(tokens(quote), word), r"\s+"))
+    wide = F.when(F.size(tokens(quote)) > 0, F.regexp_instr(text, pattern))
     return F.coalesce(F.when(exact > 0, exact - 1).when(loose > 0, loose - 1).when(wide > 0, wide - 1), F.lit(-1))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import contracts
 from .functions import features, ids, lexical, text, vectors
-from .operators import cases, extraction, filters, hotkeys, splits, stats
+from .operators import cases, extraction, filters, hotkeys, splits, stats, tables
 from .plans import pipeline
 from .runtime import load
 
@@ -715,3 +715,107 @@ def q_quote_pipeline(spark: SparkSession, d: str) -> DataFrame:
 )
 def q_valid_quotes(spark: SparkSession, d: str) -> DataFrame:
     return contracts.validate(load(spark, d, "quotes"), "quote")[0].select("record_id")
+
+
+# --- joins, orders and summaries ------------------------------------------------------------------
+
+
+@query(
+    "latest_quote_of_document",
+    """WITH l AS (SELECT doc_id, arg_max({'s': score, 'p': speaker}, record_id) AS x FROM quotes GROUP BY 1)
+       SELECT e.doc_id, e.entry_id, x.s AS score, x.p AS speaker FROM docket_entries e LEFT JOIN l USING (doc_id)""",
+)
+def q_join_latest(spark: SparkSession, d: str) -> DataFrame:
+    entries, quotes = load(spark, d, "docket_entries", "quotes")
+    return tables.join_latest(entries, quotes, ["doc_id"], "record_id", ["score", "speaker"]).select("doc_id", "entry_id", "score", "speaker")
+
+
+@query(
+    "case_summary_with_counts",
+    """WITH p AS (SELECT case_id, count(*) AS n_rows, count(*) FILTER (score >= 0.5) AS n_matched FROM quotes GROUP BY 1)
+       SELECT c.case_id, c.final_judgement_real, coalesce(n_rows, 0) AS n_rows, coalesce(n_matched, 0) AS n_matched FROM cases c LEFT JOIN p USING (case_id)""",
+)
+def q_summary_counts(spark: SparkSession, d: str) -> DataFrame:
+    c, q = load(spark, d, "cases", "quotes")
+    return tables.summary_with_counts(c.select("case_id", "final_judgement_real"), q, "case_id", F.col("score") >= 0.5)
+
+
+@query("shared_documents", "SELECT doc_id FROM quotes INTERSECT SELECT doc_id FROM docket_entries")
+def q_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return tables.set_overlap(*load(spark, d, "quotes", "docket_entries"), "doc_id")
+
+
+@query("documents_without_entry", "SELECT doc_id FROM quotes EXCEPT SELECT doc_id FROM docket_entries")
+def q_difference(spark: SparkSession, d: str) -> DataFrame:
+    return tables.set_difference(*load(spark, d, "quotes", "docket_entries"), "doc_id")
+
+
+@query(
+    "price_ranks",
+    "SELECT o_orderkey, rank() OVER (ORDER BY o_totalprice DESC) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0 AS rank FROM orders",
+)
+def q_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return tables.rank_descending(load(spark, d, "orders"), "o_totalprice").select("o_orderkey", "rank")
+
+
+@query(
+    "position_in_case",
+    """SELECT record_id, round(CASE WHEN count(*) OVER (PARTITION BY case_id) > 1 THEN (row_number() OVER (PARTITION BY case_id ORDER BY ingested_at NULLS FIRST, record_id) - 1) / (count(*) OVER (PARTITION BY case_id) - 1)::DOUBLE ELSE 0 END, 9) AS position FROM quotes""",
+)
+def q_position(spark: SparkSession, d: str) -> DataFrame:
+    return tables.percent_position(load(spark, d, "quotes"), "case_id", ["ingested_at", "record_id"]).select("record_id", F.round("position", 9).alias("position"))
+
+
+@query("top_tenth_of_prices", "SELECT o_orderkey FROM orders WHERE o_totalprice >= (SELECT quantile_cont(o_totalprice, 0.9) FROM orders)")
+def q_top_share(spark: SparkSession, d: str) -> DataFrame:
+    return tables.top_share(load(spark, d, "orders"), "o_totalprice", 0.1).select("o_orderkey")
+
+
+@query("case_label", "SELECT case_id, CAST(round_even(avg(stage), 0) AS INT) AS label FROM quotes GROUP BY 1")
+def q_case_label(spark: SparkSession, d: str) -> DataFrame:
+    return tables.case_label(load(spark, d, "quotes"), "case_id", "stage")
+
+
+@query(
+    "column_summary",
+    " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n_values, round(1 - count({c}) / count(*), 9) AS missing, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, CAST(min({c}) AS DOUBLE) AS least, CAST(max({c}) AS DOUBLE) AS greatest FROM quotes" for c in ("score", "num_tokens", "case_year")),
+)
+def q_column_summary(spark: SparkSession, d: str) -> DataFrame:
+    r = tables.column_summary(load(spark, d, "quotes"), ["score", "num_tokens", "case_year"])
+    return r.withColumns({"missing": F.round("missing", 9), "mean": F.round("mean", 6), "std": F.round("std", 6)})
+
+
+@query(
+    "size_buckets",
+    """WITH p AS (SELECT case_id, count(*) AS n, sum(score) AS s, count(score) AS k FROM quotes GROUP BY 1)
+       SELECT CASE WHEN n = 1 THEN '1' WHEN n <= 3 THEN '2-3' WHEN n <= 7 THEN '4-7' ELSE '8+' END AS bucket, count(*) AS n_cases, CAST(sum(n) AS BIGINT) AS n_rows, round(sum(s) / nullif(sum(k), 0), 6) AS mean_value FROM p GROUP BY 1""",
+)
+def q_size_buckets(spark: SparkSession, d: str) -> DataFrame:
+    return tables.size_bucket_report(load(spark, d, "quotes"), "case_id", "score").withColumn("mean_value", F.round("mean_value", 6))
+
+
+@query(
+    "class_sizes",
+    """WITH p AS (SELECT stage, case_id, count(*) AS n FROM quotes GROUP BY 1, 2)
+       SELECT stage, count(*) AS n_cases, CAST(sum(n) AS BIGINT) AS n_rows, round(avg(n), 6) AS mean_rows, min(n) AS least_rows, max(n) AS most_rows FROM p GROUP BY 1""",
+)
+def q_class_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return tables.class_sizes(load(spark, d, "quotes"), "case_id", "stage").withColumn("mean_rows", F.round("mean_rows", 6))
+
+
+@query(
+    "class_risk",
+    """WITH p AS (SELECT stage, case_id, avg(score) AS m, max(score) AS x, avg(CAST(score >= 0.8 AS DOUBLE)) AS h FROM quotes GROUP BY 1, 2)
+       SELECT stage, round(avg(m), 6) AS mean_risk, round(avg(x), 6) AS max_risk, round(avg(h), 6) AS high_share FROM p GROUP BY 1""",
+)
+def q_class_risk(spark: SparkSession, d: str) -> DataFrame:
+    r = tables.class_risk(load(spark, d, "quotes"), "case_id", "stage", "score")
+    return r.withColumns({c: F.round(c, 6) for c in ("mean_risk", "max_risk", "high_share")})
+
+
+_LINE = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query("correlations", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for i, a in enumerate(_LINE) for b in _LINE[i + 1 :]))
+def q_correlations(spark: SparkSession, d: str) -> DataFrame:
+    return tables.correlations(load(spark, d, "lineitem"), _LINE).withColumn("r", F.round("r", 6))
