@@ -38,7 +38,14 @@ ITEM_WORDS = 1 << 21
 PAIRS = 1 << 20
 _WORD = re.compile(r"[^\W_]+")
 #: Numbers that are no digits, such as fractions: \w takes them in.
-_ODD = re.compile("[" + "".join(chr(c) for c in range(0x20000) if unicodedata.category(chr(c)) in ("No", "Nl")) + "]")
+_ODD = frozenset(chr(c) for c in range(0x20000) if unicodedata.category(chr(c)) in ("No", "Nl"))
+
+
+def _words(t: str) -> list[str]:
+    """The runs of letters and digits of a text."""
+    if not t.isascii() and not _ODD.isdisjoint(t):
+        t = "".join(" " if c in _ODD else c for c in t)
+    return _WORD.findall(t)
 
 
 def _words(t: str) -> list[str]:
