@@ -48,11 +48,6 @@ def _words(t: str) -> list[str]:
     return _WORD.findall(t)
 
 
-def _words(t: str) -> list[str]:
-    """The runs of letters and digits of a text."""
-    return _WORD.findall(t if t.isascii() or not _ODD.search(t) else _ODD.sub(" ", t))
-
-
 
 def _bounds(codes: np.ndarray, sa: np.ndarray, pattern: np.ndarray, length: int, after: bool) -> np.ndarray:
     """Binary search of all rows of ``pattern`` (m x length) at once: first suffix not below it, or above it."""
