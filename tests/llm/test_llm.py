@@ -131,6 +131,24 @@ def test_frequent_misspellings_link_at_every_size(spark, monkeypatch):
         assert {(r.speaker_a, r.speaker_b) for r in name_variants.variant_pairs(df).collect()} == want
 
 
+def test_no_plan_of_name_variants_is_large(spark, monkeypatch):
+    # the driver's memory goes with the size of the largest plan
+    joins = []
+
+    def counted(f):
+        def run(df, *rest):
+            joins.append(len(re.findall(r"\bJoin (?:Inner|LeftOuter|LeftSemi|LeftAnti)", df._jdf.queryExecution().optimizedPlan().toString())))
+            return f(df, *rest)
+
+        return run
+
+    for name in ("cut", "stored"):
+        monkeypatch.setattr(name_variants, name, counted(getattr(name_variants, name)))
+    df = spark.createDataFrame([(n,) for n in ("Thomas Rokuzon", "Thomsa Rokuzon", "T. Rokuzon", "Esther Rokuzon")], "speaker string")
+    assert name_variants.variant_pairs(df).count() == 3
+    assert 2 <= max(joins) <= 8, joins
+
+
 def _invented(rng, n):
     syl = ["ba", "ce", "di", "fo", "gu", "ha", "je", "ki", "lo", "mu", "na", "pe", "ri", "so", "tu", "va", "we", "zi", "tra", "plo", "sku", "bre", "gli", "dro"]
     out = set()
